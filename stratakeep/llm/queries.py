@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from . import substring_dedup
 from .mixing import op9_mix_sources
+from .near_duplicates import op2_ngram_jaccard
 from .quality import op10_quality_rules
 from .sharding import op1_shard_ring
+from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
     "op1_shard_ring": op1_shard_ring,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op4_substring_dedup": op4_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": substring_dedup.ORACLE}
