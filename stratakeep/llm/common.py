@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,15 @@ def forget_tables() -> None:
 atexit.register(forget_tables)
 
 
+def ship(spark: SparkSession, value) -> Broadcast:
+    """Broadcast ``value``, of bounded size, with its classes, so that workers need not import them."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(sent: Broadcast):
+    return pickle.loads(sent.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

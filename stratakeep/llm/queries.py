@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from . import substring_dedup
+from .decontamination import op7_decontamination
+from .language_model import op3_lm_scoring
 from .mixing import op9_mix_sources
 from .near_duplicates import op2_ngram_jaccard
 from .quality import op10_quality_rules
@@ -12,7 +14,9 @@ from .substring_dedup import op4_substring_dedup
 QUERIES = {
     "op1_shard_ring": op1_shard_ring,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_decontamination": op7_decontamination,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }

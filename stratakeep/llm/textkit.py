@@ -77,10 +77,11 @@ class Words:
         return np.diff(self.off)
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
+def words(column: pa.Array, lower: bool = False, mapping: np.ndarray | None = None) -> Words:
+    """Words of each text, after mapping its bytes (A-Z to a-z with ``lower``)."""
     body, text_off = raw(column)
-    if lower:
-        body = LOWER[body]
+    if lower or mapping is not None:
+        body = (LOWER if mapping is None else mapping)[body]
     n = len(body)
     inside = ~SPACE[body]
     first, last = inside.copy(), inside.copy()
