@@ -1,15 +1,79 @@
-"""The corpus pipeline: quality rules, near duplicates, benchmark decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, near duplicates, benchmark decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
+DataFrame; all but the last return the columns of ``docs``. ``run`` applies them to ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratakeep.llm.common import durable, table
+from stratakeep.llm.decontamination import contaminated
+from stratakeep.llm.mixing import mix_sources, sized
+from stratakeep.llm.near_duplicates import near_duplicates
+from stratakeep.llm.quality import keep_good
+from stratakeep.llm.sharding import shard_documents
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``_id`` that tells all rows apart: doc_id where it does, else a written row number."""
+    ids = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if ids.rows == ids.ids:
+        return docs.withColumn("_id", F.col("doc_id").cast("long"))
+    return durable(docs.withColumn("_id", F.monotonically_increasing_id()), "identified")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules do not reject."""
+    return keep_good(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8): the one with the smallest id."""
+    rows = identified(docs)
+    groups = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), width=5, percent=80)
+    stay = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
+    return rows.join(stay, "_id", "left_semi").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    rows = identified(docs)
+    found = contaminated(rows.select(F.col("_id").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(durable(found.select(F.col("doc_id").alias("_id")).distinct(), "contaminated"), "_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as its source's target takes it, from never to three times."""
+    rows = identified(docs)
+    mixed = mix_sources(sized(rows.select(F.col("_id").alias("doc_id"), "source", "text")))
+    times = mixed.where("taken > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return rows.join(durable(times, "mix"), "_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document of the mix."""
+    return shard_documents(docs)
+
 
-STAGES = []
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("sharding", sharding_stage),
+]
+#: The posterior of the quality rules, the latent search and both hash orders have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = durable(docs, "stage")
     return docs

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 from .common import durable, table
@@ -76,8 +77,19 @@ def _votes(m: dict[str, np.ndarray]) -> np.ndarray:
 
 def measure(batches):
     """Arrow batches of (doc_id, text) to metrics, base verdict and vote pattern."""
-    for part in tk.pieces(batches):
-        w = tk.words(part.column("text"))
+    for part, m, failed, pattern in _measured(batches, "text"):
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *[pa.array(m[k]) for k in _ARROW.names[1:6]], failed, pattern], schema=_ARROW)
+
+
+def annotate(batches):
+    """Arrow batches with ``text`` to the same rows with the base verdict and vote pattern behind."""
+    for part, _, failed, pattern in _measured(batches, "text"):
+        yield pa.RecordBatch.from_arrays([*part.columns, failed, pattern], names=[*part.schema.names, "_base_failed", "_pattern"])
+
+
+def _measured(batches, text):
+    for part in tk.pieces(batches, text):
+        w = tk.words(part.column(text))
         body, off = w.body, w.text_off
         data = body.tobytes()
         n = w.counts
@@ -100,7 +112,7 @@ def measure(batches):
         }
         pattern = ((_votes(m) + 1) * 3 ** np.arange(len(RULES))).sum(1)
         failed = (n < 10) | (100 * m["n_repeat_words"] > 20 * n)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *[pa.array(m[k]) for k in _ARROW.names[1:6]], pa.array(failed), pa.array(pattern.astype(np.int32))], schema=_ARROW)
+        yield part, m, pa.array(failed), pa.array(pattern.astype(np.int32))
 
 
 def fit(counts: dict[int, int], rules: int = len(RULES), rounds: int = 100) -> dict[int, float]:
@@ -136,14 +148,27 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words and fail the base rules. Repeated rows are judged alike.
     Input of no rows gives none. Other columns are not read.
     """
-    spark = docs.sparkSession
     seen = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measure, _SCHEMA), "quality")
-    counts = {r["pattern"]: r["n"] for r in seen.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-    posterior = spark.createDataFrame(list(fit(counts).items()), "p int, p_good double")  # 3 ** rules rows at most
+    posterior = _posterior(seen, "pattern")
     judged = seen.join(F.broadcast(posterior), F.col("pattern") == F.col("p"), "left").drop("p")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
 
+def _posterior(seen: DataFrame, pattern: str) -> DataFrame:
+    """(p, p_good) of each vote pattern in ``seen``: 3 ** rules rows at most."""
+    counts = {r["p"]: r["n"] for r in seen.groupBy(F.col(pattern).alias("p")).agg(F.count("*").alias("n")).collect()}
+    return seen.sparkSession.createDataFrame(list(fit(counts).items()), "p int, p_good double")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; see :func:`judge_quality`."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("_base_failed", T.BooleanType()), T.StructField("_pattern", T.IntegerType())])
+    marked = docs.mapInArrow(annotate, schema)
+    posterior = _posterior(durable(docs.select("text").mapInArrow(annotate, T.StructType([docs.schema["text"], *schema.fields[-2:]])).select("_pattern"), "patterns"), "_pattern")
+    good = posterior.where("p_good >= 0.5").select("p")
+    return marked.where("not _base_failed").join(F.broadcast(good), F.col("_pattern") == F.col("p"), "left_semi").select(*docs.columns)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
