@@ -1 +1 @@
-
+"""Plans over change logs: validation, replay, links, compaction. Pure functions of DataFrames."""

@@ -1 +1 @@
-
+"""Stores, command logs and snapshots."""

@@ -1 +1,5 @@
+"""Streaming ingest into a store."""
 
+from .ingest import ingest
+
+__all__ = ["ingest"]
