@@ -29,9 +29,9 @@ _SEGMENT = "array<struct<seg_cell:int,lo:bigint,hi:bigint,shard:int,slot0:bigint
 
 
 def ring(spark: SparkSession, shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
-    """Sorted (cell, shard) of the virtual nodes; two on one cell keep the lower shard first."""
+    """Sorted (cell, shard) of the virtual nodes; a shard's nodes do not depend on how many shards there are."""
     node = spark.range(shards * virtual_nodes).select(
-        F.pmod(F.xxhash64(F.lit("virtual node"), "id"), F.lit(RING_CELLS)).cast("int").alias("cell"), (F.col("id") % shards).cast("int").alias("shard")
+        F.pmod(F.xxhash64(F.lit("virtual node"), F.col("id") % shards, F.floor(F.col("id") / shards)), F.lit(RING_CELLS)).cast("int").alias("cell"), (F.col("id") % shards).cast("int").alias("shard")
     )
     return sorted((r.cell, r.shard) for r in node.collect())
 
