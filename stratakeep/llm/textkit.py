@@ -16,7 +16,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = (1 << 20) - 1
 _BASE = 0x9E3779B97F4A7C13 | 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTERS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
