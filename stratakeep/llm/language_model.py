@@ -3,8 +3,7 @@
 A token's probability is P(class | context) * P(token | class). Classes group frequent words by the
 group of documents (``hint``, here the language) that uses them most and by frequency rank; the end
 token is a class, and so is the tail of rare and unknown words. P(class | context) is a softmax over
-classes whose features are hashed: the previous word, the previous two, and skips over one and two
-words. Each feature is a row of one weight a class in a table of fixed size.
+classes whose features are hashed: the previous word, the previous two, and a skip over one word. Each feature is a row of one weight a class in a table of fixed size.
 
 Counts cover all training tokens. Training is distributed: in each round every task runs gradient
 updates over its part of that round's documents from the same start, and weights are averaged by how
@@ -27,13 +26,13 @@ from .common import durable, ship, shipped, table
 
 HEAD = 1 << 18
 HINTS = 8
-BANDS = 14
-SIZES = (4096, 8192, 4096, 4096)  # rows for: previous word, previous two words, skip one, skip two
+BANDS = 8
+SIZES = (4096, 8192, 4096)  # rows for: previous word, previous two words, skip over one word
 ROWS = sum(SIZES)
 BLOCK = 1024
-BATCH = 8192
+BATCH = 4096
 ROUNDS = 2
-RATE = 0.5
+RATE = 0.7
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _START = np.uint64(0x57A2757A2757A27)
 _COUNTS = "h long, hint int, n long"
@@ -58,11 +57,11 @@ def features(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     begin = np.repeat(off[:-1], np.diff(off))
     place = np.arange(len(h)) - begin
     prev = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         x = np.full(len(h), _START)
         x[k:] = np.where(place[k:] >= k, h[:-k], _START)
         prev.append(x)
-    keys = (prev[0], prev[0] * np.uint64(0x9E3779B97F4A7C15) + prev[1], prev[1], prev[2])
+    keys = (prev[0], prev[0] * np.uint64(0x9E3779B97F4A7C15) + prev[1], prev[1])
     base = np.cumsum((0, *SIZES[:-1]))
     return np.stack([(tk.mix(x + np.uint64(71 * j + 5)) % np.uint64(s)).astype(np.int32) + b for j, (x, s, b) in enumerate(zip(keys, SIZES, base.tolist()))], 1)
 
@@ -79,7 +78,7 @@ class Vocabulary:
             mine = np.flatnonzero((hint == g) & (self.h != END))
             rank = np.empty(len(mine), np.int64)
             rank[np.lexsort((self.h[mine], -self.n[mine]))] = np.arange(len(mine))
-            band = np.minimum(np.floor(np.log2(rank + 1)).astype(int), BANDS - 1)
+            band = np.minimum(np.floor(np.log2(rank + 1) / 2).astype(int), BANDS - 1)
             if len(mine):
                 self.cls[mine] = used + band
                 used += int(band.max()) + 1
@@ -98,25 +97,35 @@ class Vocabulary:
         return np.where(self.h[at] == h, at, -1)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = weights[rows[:, 0]] + bias
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    x = weights.take(rows[:, 0], axis=0)
+    x += bias
     for j in range(1, rows.shape[1]):
-        x += weights[rows[:, j]]
+        x += weights.take(rows[:, j], axis=0)
     x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    return x
+
+
+def log_of_class(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each token's class."""
+    x = _logits(weights, bias, rows)
+    own = x[np.arange(len(y)), y]
+    return own - np.log(np.exp(x, out=x).sum(1))
 
 
 def train_step(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, rows: np.ndarray, y: np.ndarray) -> None:
-    """One gradient update; a row's rate falls with how often this task has seen it."""
-    g = np.exp(log_softmax(weights, bias, rows))
+    """One gradient update: each row takes its mean gradient, at a rate that falls with how often this task has seen it."""
+    g = _logits(weights, bias, rows)
+    np.exp(g, out=g)
+    g /= g.sum(1, keepdims=True)
     g[np.arange(len(y)), y] -= 1
     for j in range(rows.shape[1]):
         order = np.argsort(rows[:, j].astype(np.uint16), kind="stable")
         row = rows[order, j]
         begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        at = row[begin]
-        seen[at] += np.diff(np.append(begin, len(row)))
-        weights[at] -= np.float32(RATE) * np.add.reduceat(g[order], begin, axis=0) / np.sqrt(seen[at] + 1)[:, None].astype(np.float32)
+        at, times = row[begin], np.diff(np.append(begin, len(row))).astype(np.float32)
+        seen[at] += times
+        weights[at] -= np.float32(RATE) * np.add.reduceat(g.take(order, axis=0), begin, axis=0) / np.sqrt(seen[at] * times)[:, None]
 
 
 def _count(batches):
@@ -199,7 +208,7 @@ def _score(model):
             logp = np.empty(len(h))
             for a in range(0, len(h), BATCH):
                 b = slice(a, a + BATCH)
-                logp[b] = log_softmax(weights, vocabulary.bias, rows[b])[np.arange(len(y[b])), y[b]] / np.log(10)
+                logp[b] = log_of_class(weights, vocabulary.bias, rows[b], y[b]) / np.log(10)
             of_base = np.zeros(len(h))
             of_base[known] = base[at[known]]
             logp[known] += vocabulary.log_in_class[at[known]]
