@@ -34,8 +34,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near duplicates (five words, 0.8): the one with the smallest id."""
     rows = identified(docs)
     groups = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), width=5, percent=80)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
-    return rows.join(stay, "_id", "left_semi").select(*docs.columns)
+    # those that go are fewer than those that stay, and more likely small enough for a broadcast
+    gone = durable(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")), "duplicates")
+    return rows.join(gone, "_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
