@@ -5,17 +5,17 @@ Two sets of sizes a and b with Jaccard similarity of at least t differ in at mos
 (a + b) * (1 - t) / (1 + t) shingles, which bounds the distance of any parity sketch: a sketch
 XORs a pattern for each shingle, and a shingle that only one side has changes one place.
 
-*Size bands* hold the sizes that can link; a set is sketched for its band and the next, so any
-linkable pair meets in one band group, whose largest size bounds the difference d.
+*Size bands* hold the sizes that can link; a set is sketched for its band and the next. Two sets of
+band g - 1, and one of g - 1 and one of g, meet in group g, whose largest sizes bound the difference d.
 
 *Pigeonhole join.* Hashing deals the shingles into k = d + 1 + m segments, each with its own XOR
 word. Two linked sets agree in at least 1 + m words, so they meet under (group, segment, word).
 Words of empty segments say nothing; sets with at most m empty segments skip them, since one of
 the agreeing words must then belong to a segment that is not empty. Sets with more of them pair
-each with all words of a second dealing, of which one must agree as well. Where d is 1 or 2, the
-whole set's XOR and all its one-deletion variants are the keys.
+each with all words of a second dealing, of which one must agree as well. Where d is 1,
+the whole set's XOR and all its one-deletion variants are the keys.
 
-*Verification.* A whole-set sketch of 256 bits drops pairs whose Hamming distance exceeds the
+*Verification.* A whole-set sketch of 1024 bits drops pairs whose Hamming distance exceeds the
 bound; what remains is compared exactly. Only connected components are wanted, so a key's members
 are not paired with each other: first each node is compared with one hub, the smallest node it
 meets; keys whose members are one component by then are done. In the others a growing number of
@@ -38,9 +38,10 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import durable, table
 
-SKETCH_WORDS = 4
-LEADERS = 4
-_SCHEMA = "doc_id long, n_shingles long, node long, sketch array<long>, keys array<long>"
+SKETCH_WORDS = 16
+LEADERS = 16
+_SCHEMA = "doc_id long, n_shingles long, node long, sketch array<long>"
+_KEYS = "node long, keys array<long>"
 _SETS = "node long, shingles array<long>"
 
 
@@ -58,11 +59,11 @@ def bands(percent: int, upto: int) -> tuple[int, ...]:
     return _bands.setdefault((percent, upto), (*lows, lows[-1] * 100 // percent + 1))
 
 
-def group_plan(percent: int, low: int, high: int) -> tuple[int, int, int]:
-    """(d, k, m) of a band group with sizes from ``low`` to ``high``."""
+def group_plan(percent: int, low: int, middle: int, high: int) -> tuple[int, int, int]:
+    """(d, k, m) of a band group: a lower band from ``low`` to ``middle`` and an upper one to ``high``."""
     if (percent, low, high) in _plans:
         return _plans[percent, low, high]
-    d = 2 * high * (100 - percent) // (100 + percent)
+    d = (middle + high) * (100 - percent) // (100 + percent)
     m = 1
     for _ in range(4):
         k = d + 1 + m
@@ -91,12 +92,11 @@ def bucket_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     marks = tk.mix(shingles + np.uint64(0x51A9))
     out = []
     for g in (band, band + 1):
-        low, high = lows[max(g - 1, 0)], lows[g + 1] - 1
-        d, k, m = group_plan(percent, low, high)
+        d, k, m = group_plan(percent, lows[max(g - 1, 0)], lows[g] - 1, lows[g + 1] - 1)
         if d == 0:
             continue
         salt = np.uint64(tk.mix_int(0xB0B + g))
-        if d <= 2:
+        if d == 1:
             whole = np.bitwise_xor.reduce(marks)
             out.append(tk.mix(np.concatenate([[whole], whole ^ marks]) + salt))
             continue
@@ -135,22 +135,38 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-def _describe(width: int, percent: int):
+def _describe(width: int):
     def run(batches):
-        emitted: set[int] = set()  # a set that this task has described already needs no keys again
+        done: set[int] = set()  # a set that this task has described already needs no second sketch
         for part in tk.pieces(batches):
-            n, nodes, sketches, keys = [], [], [], []
+            n, nodes, sketches = [], [], []
             for s in text_sets(part.column("text"), width):
                 node = node_of(s) if len(s) else 0
-                new = len(s) > 0 and node not in emitted
-                emitted.add(node)
+                new = len(s) > 0 and node not in done
+                done.add(node)
                 n.append(len(s))
                 nodes.append(node)
                 sketches.append(_sketch(s) if new else np.zeros(0, np.int64))
-                keys.append(tk.signed(bucket_keys(s, percent)) if new else np.zeros(0, np.int64))
-            lists = [tk.list_array(np.concatenate(x), np.cumsum([0, *map(len, x)])) for x in (sketches, keys)]
+            sketch = tk.list_array(np.concatenate(sketches), np.cumsum([0, *map(len, sketches)]))
             node = pa.array(tk.signed(np.array(nodes, np.uint64)), mask=np.array(n) == 0)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), node, *lists], names=["doc_id", "n_shingles", "node", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), node, sketch], names=["doc_id", "n_shingles", "node", "sketch"])
+
+    return run
+
+
+def _keyed(width: int, percent: int):
+    def run(batches):
+        done: set[int] = set()
+        for part in tk.pieces(batches):
+            nodes, keys = [], [np.zeros(0, np.int64)]
+            for s in text_sets(part.column("text"), width):
+                node = node_of(s) if len(s) else 0
+                if len(s) and node not in done:
+                    done.add(node)
+                    nodes.append(node)
+                    keys.append(tk.signed(bucket_keys(s, percent)))
+            lists = tk.list_array(np.concatenate(keys), np.cumsum([len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(np.array(nodes, np.uint64))), lists], names=["node", "keys"])
 
     return run
 
@@ -170,13 +186,14 @@ def _hamming(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_WORDS)), F.lit(0))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; sketches first, then sets."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
+def _near(percent: int) -> Column:
+    """Whether (na, ka) and (nb, kb) can link by their sizes and sketches."""
     bound = (F.col("na") + F.col("nb")) * (100 - percent)
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_hamming("ka", "kb") * (100 + percent) <= bound)
-    near = near.where(fits).select("a", "b", "na", "nb")
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_hamming("ka", "kb") * (100 + percent) <= bound)
+
+
+def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, na, nb) whose sets link."""
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
@@ -220,8 +237,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     a component of null ids only has a null id. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = durable(docs.mapInArrow(_describe(width, percent), _SCHEMA), "shingles")
-    met = seen.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key")).repartition("key")
+    seen = durable(docs.mapInArrow(_describe(width), _SCHEMA), "shingles")
+    # keys are made in a pass of their own and go straight into the shuffle: stored, they would double its disk
+    met = docs.mapInArrow(_keyed(width, percent), _KEYS).select("node", F.explode("keys").alias("key")).repartition("key")
     same = Window.partitionBy("key")
     shared = met.withColumn("hub", F.min("node").over(same)).withColumn("_last", F.max("node").over(same)).where("hub <> _last")
     shared = durable(shared.select("key", "node", "hub"), "met")
@@ -232,7 +250,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted["_id"]), "left_semi")
     sets = durable(texts.mapInArrow(_sets(width), _SETS).join(hubs.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    links = durable(_verified(hubs.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), nodes, sets, percent), "links")
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
+    first = hubs.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).join(side("a"), "a").join(side("b"), "b")
+    links = durable(_verified(first.where(_near(percent)).select("a", "b", "na", "nb"), sets, percent), "links")
     comps = merge(durable(hubs.select("node", F.col("node").alias("comp")), "components"), links)
     left, leaders = shared.select("key", "node").distinct(), LEADERS
     while True:
@@ -242,10 +262,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         ranked = durable(ranked, "open")
         if _empty(ranked):
             break
-        lead = ranked.where(F.col("rank") <= leaders).select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        pairs = ranked.join(lead, "key").where("rank > ra and comp <> ca").select("a", F.col("node").alias("b")).distinct()
-        comps = merge(comps, durable(_verified(pairs, nodes, sets, percent), "links"))
-        left, leaders = ranked.where(F.col("rank") > leaders).select("key", "node"), 4 * leaders
+        # sizes and sketches are compared inside the join, so it puts out only pairs that may link
+        known = ranked.join(nodes, "node")
+        lead = known.where(F.col("rank") <= leaders).select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
+        rest = known.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("rank").alias("rb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
+        pairs = rest.join(lead, "key").where((F.col("rb") > F.col("ra")) & (F.col("ca") != F.col("cb")) & _near(percent)).select("a", "b", "na", "nb").distinct()
+        comps = merge(comps, durable(_verified(pairs, sets, percent), "links"))
+        left, leaders = ranked.where(F.col("rank") > leaders).select("key", "node"), 8 * leaders
 
     placed = seen.select("doc_id", "n_shingles", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # ids of a component: one partial minimum a task, so a component may hold any share of the rows
@@ -256,3 +279,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+), s as (
+  select doc_id, case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as sh from w
+), e as (
+  select doc_id, len(sh) as n, unnest(sh) as x from s
+), p as (
+  select a.doc_id as a, b.doc_id as b, a.n + b.n as n, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id and 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) group by all
+), l as (
+  select a, b from p where 100 * c >= 90 * (n - c) union select b, a from p where 100 * c >= 90 * (n - c)
+), r as (
+  select doc_id as d, doc_id as c from s
+  union
+  select l.b, r.c from r join l on l.a = r.d
+)
+select s.doc_id, len(s.sh)::bigint as n_shingles, m.component_id from s join (select d, min(c) as component_id from r group by d) m on m.d = s.doc_id
+"""
