@@ -186,6 +186,38 @@ def test_decontamination_finds_planted_items(spark, odd_docs):
     assert dc.contaminated(df, benchmark.limit(0)).collect() == []
 
 
+def test_decontamination_equals_brute_force_in_one_vocabulary(spark):
+    r = random.Random(21)
+    word = lambda: f"w{min(int(r.paretovariate(0.35)), 4000)}"
+    items = [[word() for _ in range(n)] for n in (5, 9, 15, 24, 33, 43, 58, 75, 130, 400)]
+    items[4] = [*items[4], "w1", "w1", "w1"] * 2
+    docs = []
+    for i in range(240):
+        text = [word() for _ in range(r.randrange(0, 260))]
+        if i % 4:
+            passage = list(items[i % 10])
+            for _ in range(r.randrange(0, 4 * len(passage) // 10) if i % 4 > 1 else 0):  # up to four tenths changed
+                k = r.randrange(len(passage))
+                passage[k : k + 1] = r.choice([[], [word()], [passage[k], word(), word()]])
+            at = r.randrange(len(text) + 1)
+            text[at:at] = passage
+        docs.append((i, text))
+    want = {}
+    for i, text in docs:
+        for k, item in enumerate(items):
+            masks = defaultdict(int)
+            for j, x in enumerate(item):
+                masks[x] |= 1 << j
+            reach = 2 * len(item) + 8
+            share = max((dc.lcs_length(masks, len(item), text[a : a + reach]) for a in range(len(text)) if text[a] in masks), default=0) / len(item)
+            if share >= 0.7:
+                want[i, k] = share
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    got = dc.contaminated(df, spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()
+    assert len(want) > 120 and {(x["doc_id"], x["item_id"]) for x in got} == set(want)
+    assert all(0.7 <= x["lcs"] <= want[x["doc_id"], x["item_id"]] and -1.001 < x["cosine"] < 1.001 for x in got)
+
+
 def test_answers_decide_weak_matches(spark):
     item = " ".join(f"q{i}" for i in range(30))
     weak = " ".join(f"q{i}" if i % 5 < 3 else f"z{i}" for i in range(30))
