@@ -12,7 +12,8 @@ longest such symbol is the window's *anchor*; windows without a long one take th
 Equal windows thus have equal anchors. Consecutive windows with one anchor are a *block*.
 
 Spark rounds: (1) per anchor, are there several blocks, and do they all have the same words?
-Anchors of one block are settled: unique. Where all blocks are equal, all their windows repeat.
+Anchors of one block are settled: unique, but for windows that recur inside it, which the survey finds
+in the text itself. Where all blocks are equal, all their windows repeat.
 (2) Only for anchors with differing blocks, at the borders of what is shared, single windows are
 hashed with 128 bits and counted. (3) Covered words are cut. Equal texts are worked on once a task
 and repeat as a whole. Per-anchor statistics are pre-aggregated and joined back by a sort-merge
@@ -174,6 +175,15 @@ def _survey(width: int):
                         eq = eq[valid[eq] & valid[eq + d] & (text[eq] == text[eq + d])]
                         again[eq] = True
                         again[eq + d] = True
+                # and further apart, which within one block only long ones hold
+                wide = np.flatnonzero(cnt > width)
+                of = np.repeat(wide, cnt[wide])
+                at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(cnt[wide]) - cnt[wide], cnt[wide])
+                order = np.lexsort((one[at], of))
+                of, at = of[order], at[order]
+                eq = np.flatnonzero((one[at[1:]] == one[at[:-1]]) & (of[1:] == of[:-1]))
+                again[at[eq]] = True
+                again[at[eq + 1]] = True
                 own = np.flatnonzero(again)
             per = lambda at: np.searchsorted(at, w.off)
             local = lambda at: (at - w.off[:-1][text[at]]).astype(np.int32)

@@ -139,6 +139,18 @@ def test_substring_dedup_odd_and_empty(odd_docs, no_docs):
     assert substring_dedup.cut_repeats(no_docs).collect() == []
 
 
+def test_windows_recur_inside_one_block(spark):
+    docs = []
+    for i, line, fill in ((5065, 13, 2), (10257, 12, 1)):  # the same long line between three fillers, in a cycle of 45 and 39 words
+        line = [f"l{i}x{k}" for k in range(line)]
+        docs.append((i, " ".join([x for j in range(3) for x in (*line, *(f"f{i}x{j}x{k}" for k in range(fill)))] * 4)))
+        h = textkit.words(pa.array([docs[-1][1]])).hashes
+        valid = np.arange(len(h)) + 35 <= len(h)
+        assert len(np.unique(substring_dedup.window_anchors(h, np.zeros(len(h), int), valid, 35)[valid])) == 1
+    got = substring_dedup.cut_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert Counter(tuple(r)[:4] for r in got.collect()) == cut(docs, 35)
+
+
 def test_symbols_depend_on_their_context_only():
     r = random.Random(5)
     inner = prose(r, 60).split()
