@@ -3,13 +3,19 @@
 A token's probability is P(class | context) * P(token | class). Classes group frequent words by the
 group of documents (``hint``, here the language) that uses them most and by frequency rank; the end
 token is a class, and so is the tail of rare and unknown words. P(class | context) is a softmax over
-classes whose features are hashed: the previous word, the previous two, and a skip over one word. Each feature is a row of one weight a class in a table of fixed size.
+classes whose features are hashed: the previous word, the previous two, and a skip over one word. Each feature is a row of one weight a class in a
+table of fixed size. That is the prior of a second model, which grows with the input: the counts of all
+pairs of a word and the word behind it (frequent words, the end, and the tail as one) in the training
+texts. With n of a word, m of a pair: (m + PRIOR * p) / (n + PRIOR), where p is the prior's probability.
 
 Counts cover all training tokens. Training is distributed: in each round every task runs gradient
 updates over its part of that round's documents from the same start, and weights are averaged by how
 often each task saw each feature. All training documents are used once. What leaves a task is the
 fixed-size table, added up in blocks; what reaches the driver is one table.
 
+Pairs are dealt by their hash to as many parts as the training tokens ask for; what is asked of them goes
+the same way, together with the rows it came from, and is answered part by part. No part is broadcast.
+
 Words beyond the frequent ones, however many, are scored by a join with their counts; the frequent
 ones and the weights are broadcast, bounded by HEAD and ROWS.
 """
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +40,19 @@ BLOCK = 1024
 BATCH = 4096
 ROUNDS = 2
 RATE = 0.7
+PRIOR = 100.0
+PART_TOKENS = 1 << 20  # training tokens a part of the pairs
+MOST_PARTS = 1 << 15
+KEY_BYTES = 5
+STEPS = 2000  # of a unit of log10 that a prior probability travels in
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _START = np.uint64(0x57A2757A2757A27)
+_TAIL = np.uint64(0x7A117A117A117A1)
 _COUNTS = "h long, hint int, n long"
 _PART = "block int, seen binary, weights binary"
-_SCORES = "doc_id long, held_out boolean, n_tokens long, head_known long, base_head double, model_head double, tail array<long>"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, head_known long, base_head double, model_head double, tail array<long>, _row long"
+_ASKED = "part int, kind int, piece long, keys binary, rows binary, p binary"
+_ANSWERS = "kind int, piece long, rows binary, gain binary"
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -194,10 +209,118 @@ def _add_blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *[pa.array([v[i].tobytes() for v in total.values()], pa.binary()) for i in (0, 1)]], names=["block", "seen", "weights"])
 
 
-def _score(model):
+def _pairs(h: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each token and the one before it; words that are not frequent are one as the second of a pair."""
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[off[:-1]] = _START
+    return tk.mix(before * np.uint64(0x9E3779B97F4A7C15) + np.where(at >= 0, h, _TAIL))
+
+
+def _dealt(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by part, the parts that occur, and where each begins (and the last ends)."""
+    part = ((key >> np.uint64(44)) % np.uint64(parts)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return order, part[begin], np.append(begin, len(part))
+
+
+def _packed(key: np.ndarray) -> np.ndarray:
+    """The lower KEY_BYTES of each hash; a part holds about PART_TOKENS pairs, however many parts there are."""
+    return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64)[:, 0]
+
+
+def _asked_rows(kind: int, piece: int, names: np.ndarray, begin: np.ndarray, keys, rows, p):
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary())
+    fixed = lambda v, t: pa.array(np.full(len(names), v), t)
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), fixed(kind, pa.int32()), fixed(piece, pa.int64()), cut(keys), cut(rows), cut(p)], names=["part", "kind", "piece", "keys", "rows", "p"])
+
+
+def _count_pairs(model, parts: int):
+    def run(batches):
+        vocabulary = shipped(model)[0]
+        none = np.zeros(0, np.uint8)
+        held, size = [], 0
+
+        def rows():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            order, names, begin = _dealt(key, parts)
+            return _asked_rows(0, 0, names, begin, _packed(key[order]), none, n[order].astype(np.uint32))
+
+        for part in tk.pieces(batches):
+            h, off = tokens(part.column("text"))
+            held.append(_pairs(h, off, vocabulary.find(h)))
+            size += len(h)
+            if size > 1 << 21:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
+
+    return run
+
+
+def _answer(batches):
+    """Per piece and part, the log10 by which the pairs raise the prior; counts of a part come first, then questions, then scores, which pass."""
+    now, found, n = None, [], []
+    odds = 10.0 ** (np.arange(1 << 16) / STEPS) / PRIOR
+    for batch in batches:
+        for part, kind, piece, keys, rows, p in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if part != now:
+                now, found, n = part, [], []
+            if kind == 0:
+                found.append(_unpacked_keys(keys))
+                n.append(np.frombuffer(p, np.uint32))
+                continue
+            if kind == 2:
+                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([piece]), pa.array([b""], pa.binary()), pa.array([p], pa.binary())], names=["kind", "piece", "rows", "gain"])
+                continue
+            if not len(found):
+                continue
+            if isinstance(found, list):
+                found, place = np.unique(np.concatenate(found), return_inverse=True)
+                n = np.bincount(place, np.concatenate(n))
+            key = _unpacked_keys(keys)
+            rows = np.frombuffer(rows, np.uint16 if len(rows) == 2 * len(key) else np.int32)
+            at = np.minimum(np.searchsorted(found, key), len(found) - 1)
+            gain = np.log10(1 + np.where(found[at] == key, n[at], 0) * odds[np.frombuffer(p, np.uint16)])
+            begin = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([piece]), pa.array([rows[begin].astype(np.int32).tobytes()], pa.binary()), pa.array([np.add.reduceat(gain, begin).astype(np.float32).tobytes()], pa.binary())], names=["kind", "piece", "rows", "gain"])
+
+
+def _gains(batches):
+    """(_g, pair_gain): sums of the answers by row, as far as a batch holds them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        piece, rows, gain = (batch.column(k).to_pylist() for k in ("piece", "rows", "gain"))
+        rows, gain = [np.frombuffer(x, np.int32) for x in rows], [np.frombuffer(x, np.float32) for x in gain]
+        row = np.repeat(np.array(piece, np.int64), [len(x) for x in rows]) + np.concatenate(rows)
+        row, place = np.unique(row, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(place, np.concatenate(gain)))], names=["_g", "pair_gain"])
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for data in batch.column("gain").to_pylist():
+            yield from pa.ipc.open_stream(data)
+
+
+def _score(model, parts: int):
+    """Scores of each row under the prior, and what the pairs are asked for; rows count from their piece's number."""
+
     def run(batches):
         vocabulary, weights = shipped(model)
         base = np.log10(vocabulary.n + 0.5)
+        behind = np.log10(PRIOR / (vocabulary.n + PRIOR))
+        piece = TaskContext.get().partitionId() << 40
         for part in tk.pieces(batches):
             h, off = tokens(part.column("text"))
             at = vocabulary.find(h)
@@ -212,10 +335,23 @@ def _score(model):
             of_base = np.zeros(len(h))
             of_base[known] = base[at[known]]
             logp[known] += vocabulary.log_in_class[at[known]]
+            key = _pairs(h, off, at)
+            order, names, begin = _dealt(key, parts)
+            rows = np.repeat(np.arange(len(off) - 1, dtype=np.uint16 if len(off) <= 1 << 16 else np.int32), np.diff(off))
+            yield _asked_rows(1, piece, names, begin, _packed(key[order]), rows[order], np.minimum(np.rint(-STEPS * logp), 65535).astype(np.uint16)[order])
+            # the share that the prior keeps behind the word before; END stands for the start of a text, which is as frequent
+            logp[known] += behind[at[known]]
             sums = [np.add.reduceat(x, off[:-1]) for x in (known.astype(np.int64), of_base, logp)]
             rest = np.flatnonzero(~known)
             tail = tk.list_array(tk.signed(h[rest]), np.searchsorted(rest, off))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(np.diff(off)), *map(pa.array, sums), tail], names=["doc_id", "held_out", "n_tokens", "head_known", "base_head", "model_head", "tail"])
+            number = pa.array(piece + np.arange(part.num_rows, dtype=np.int64))
+            out = pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(np.diff(off)), *map(pa.array, sums), tail, number], names=["doc_id", "held_out", "n_tokens", "head_known", "base_head", "model_head", "tail", "_row"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, out.schema) as stream:
+                stream.write_batch(out)
+            none = pa.array([b""], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([int(tk.mix_int(piece)) % parts], pa.int32()), pa.array([2], pa.int32()), pa.array([piece], pa.int64()), none, none, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "kind", "piece", "keys", "rows", "p"])
+            piece += part.num_rows
 
     return run
 
@@ -282,22 +418,26 @@ def score_texts(docs: DataFrame, hint: str | None = "lang", head: int = HEAD, ro
         model.unpersist()
 
     model = ship(spark, (vocabulary, weights))
-    scored = docs.select("doc_id", "text", "held_out").mapInArrow(_score(model), _SCORES)
-    scored = durable(scored.withColumn("_row", F.monotonically_increasing_id()), "scores")
+    parts = int(min(MOST_PARTS, whole.n // PART_TOKENS + 8))
+    pairs = train.select("text").mapInArrow(_count_pairs(model, parts), _ASKED)
+    asked = pairs.union(docs.select("doc_id", "text", "held_out").mapInArrow(_score(model, parts), _ASKED))
+    answers = durable(asked.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_answer, _ANSWERS), "answers")
+    scored = durable(answers.where("kind = 2").mapInArrow(_unpacked, _SCORES), "scores")
+    gains = answers.where("kind = 1").repartition("piece").mapInArrow(_gains, "_g long, pair_gain double").groupBy("_g").agg(F.sum("pair_gain").alias("pair_gain"))
     rare = words.where(~is_head).select(F.col("h").alias("_h"), "c")
     tail_mass = rare.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().n
     tail = scored.where(F.size("tail") > 0).select("_row", F.explode("tail").alias("h")).join(rare, F.col("h") == F.col("_h"), "left")
     sums = tail.groupBy(F.col("_row").alias("_r")).agg(
         F.count("c").alias("rare_known"), F.count("*").alias("n_tail"),
-        F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base_tail"), F.sum(F.log10(F.coalesce(F.col("c").cast("double"), F.lit(unknown)))).alias("model_tail"),
+        F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base_tail"), F.sum(F.log10(F.coalesce(F.col("c").cast("double"), F.lit(unknown))) + F.log10(F.lit(PRIOR) / (F.coalesce("c", F.lit(0)) + PRIOR))).alias("model_tail"),
     )
-    out = scored.join(sums, F.col("_row") == F.col("_r"), "left")
+    out = scored.join(sums, F.col("_row") == F.col("_r"), "left").join(gains, F.col("_row") == F.col("_g"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     base_all, tail_all = np.log10(whole.n + 0.5 * (whole.v + 1)), np.log10(tail_mass + unknown)
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + zero("rare_known")).cast("long").alias("n_known"), F.lit(whole.n).cast("long").alias("train_tokens"),
         (F.col("base_head") + zero("base_tail") - F.col("n_tokens") * float(base_all)).alias("base_score"),
-        (F.col("model_head") + zero("model_tail") - zero("n_tail") * float(tail_all)).alias("score"),
+        (F.col("model_head") + zero("model_tail") + zero("pair_gain") - zero("n_tail") * float(tail_all)).alias("score"),
     )
 
 

@@ -265,6 +265,24 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(mass[1:][mass[1:] > 0], 1)
 
 
+def test_language_model_learns_more_pairs_from_more_texts(spark):
+    r = random.Random(6)
+    follows = r.sample(range(20000), 20000)  # more contexts than there are rows of hashed weights
+
+    def gain(n):
+        rows = []
+        for i in range(n):
+            w = [r.randrange(20000)]
+            while len(w) < 60:
+                w.append(follows[w[-1]])
+            rows.append((i, " ".join(f"v{x}" for x in w), "a"))
+        got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+        return sum(g["score"] - g["base_score"] for g in got) / sum(g["n_tokens"] for g in got)
+
+    few, many = gain(400), gain(4000)
+    assert few > 0.1 and many > few + 0.5
+
+
 def test_language_model_odd_and_empty(odd_docs, no_docs):
     got = lm.score_texts(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in got)
