@@ -226,6 +226,15 @@ def test_answers_decide_weak_matches(spark):
     assert [(r["doc_id"], r["answer_found"]) for r in dc.contaminated(docs, benchmark).collect()] == [(1, True)]
 
 
+def test_answer_beside_the_weaker_of_two_weak_matches(spark):
+    item = " ".join(f"q{i}" for i in range(40))
+    weak = lambda n: " ".join(f"q{i}" if i < n else f"z{i}" for i in range(40))
+    text = weak(26) + " " + " ".join(f"y{i}" for i in range(400)) + " " + weak(22) + " forty two"
+    docs = spark.createDataFrame([(1, text), *[(i, prose(random.Random(i), 60)) for i in range(3, 60)]], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, item, "Forty-two")], "item_id long, text string, answer string")
+    assert [(r["doc_id"], r["lcs"], r["answer_found"]) for r in dc.contaminated(docs, benchmark).collect()] == [(1, 22 / 40, True)]
+
+
 def corpus(spark, n=400):
     r = random.Random(2)
     rows = []
