@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import pickle
+import re
 import tempfile
 import uuid
 
@@ -11,47 +12,82 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+#: Path of each table that is still there, and the file system handles that delete it, also after the session.
+_written: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary one on a local master; on a cluster, whose machines share no temporary folder, an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         where = "file://" + tempfile.mkdtemp(prefix="stratakeep-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def owned(spark: SparkSession, path: str) -> str:
+    """Note that ``path`` is to be deleted by :func:`discard` or at the end."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _written[path] = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+    return path
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage with files every executor can read, so a lost executor costs a re-read and no
     recomputation, and values drawn while writing (row numbers) never change afterwards. The files
-    go when the session ends.
+    go with :func:`discard`, or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = owned(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(path: str) -> None:
+    fs, where = _written.pop(path)
+    fs.delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`durable` that nothing will read again."""
+    for df in tables:
+        if getattr(df, "stored_at", None) in _written:
+            _delete(df.stored_at)
 
 
 def forget_tables() -> None:
-    """Delete every table that :func:`durable` has written (also done at exit)."""
-    while _written:
-        spark, path = _written.pop()
+    """Delete all tables that are left; also done at exit, whether the session has been stopped or not."""
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone already
-            return
+            _delete(path)
+        except Exception:  # the JVM may be gone; the others are tried all the same
+            continue
 
 
 atexit.register(forget_tables)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as no column of ``df`` needs to clash, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ship(spark: SparkSession, value) -> Broadcast:
     """Broadcast ``value``, of bounded size, with its classes, so that workers need not import them."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

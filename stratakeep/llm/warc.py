@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _written, durable, shared_dir, table
+from .common import durable, owned, shared_dir, table
 
 # Fixed values of the public seekable Zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -246,8 +246,7 @@ def fetch_records(index: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    _written.append((spark, target))
+    target = owned(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     index = write_archives(table(spark, sf_dir, "pages"), target)
     return read_archives(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
