@@ -15,11 +15,15 @@ the agreeing words must then belong to a segment that is not empty. Sets with mo
 each with all words of a second dealing, of which one must agree as well. Where d is 1,
 the whole set's XOR and all its one-deletion variants are the keys.
 
+*Keys with the same members.* Two similar sets share hundreds of keys, so keys are then named by their
+members (count, XOR, least and greatest of their hashes) and each name is kept once with its members.
+Two keys that get one name by chance only bring more sets together.
+
 *Verification.* A whole-set sketch of 1024 bits drops pairs whose Hamming distance exceeds the
-bound; what remains is compared exactly. Only connected components are wanted, so a key's members
-are not paired with each other: first each node is compared with one hub, the smallest node it
-meets; keys whose members are one component by then are done. In the others a growing number of
-leaders is compared with the members of other components, then leaves, until no key joins two
+bound, then one of 8192 bits those of large sets; what remains is compared exactly. Only connected components are wanted, so a key's members
+are not all paired with each other: first each is compared with the key's hub, its smallest node,
+which settles all keys of two. Then keys whose members are one component are done. In the others a growing
+number of leaders is compared with the members of other components, then leaves, until no key joins two
 components. Every pair that meets is thus either in one component or has been compared.
 
 64-bit hashes stand for shingles and sets; at 10**11 different sets a few hundred are expected to
@@ -36,11 +40,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import durable, table
+from .common import discard, durable, table
 
 SKETCH_WORDS = 16
+#: Longs of the wider sketch, which sets of more than WIDE_FROM shingles have besides.
+WIDE_WORDS, WIDE_FROM = 128, 512
 LEADERS = 16
-_SCHEMA = "doc_id long, n_shingles long, node long, sketch array<long>"
+#: Pairs that are few enough for their nodes to be broadcast when their texts are looked up; they are counted first.
+FEW = 1 << 20
+_SCHEMA = "doc_id long, n_shingles long, node long, sketch array<long>, wide array<long>"
 _KEYS = "node long, keys array<long>"
 _SETS = "node long, shingles array<long>"
 
@@ -130,8 +138,8 @@ def node_of(shingles: np.ndarray) -> int:
     return tk.mix_int(total)
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    parity = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
+def _sketch(shingles: np.ndarray, size: int = SKETCH_WORDS) -> np.ndarray:
+    parity = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (64 * size - 1), minlength=64 * size) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
@@ -139,17 +147,19 @@ def _describe(width: int):
     def run(batches):
         done: set[int] = set()  # a set that this task has described already needs no second sketch
         for part in tk.pieces(batches):
-            n, nodes, sketches = [], [], []
+            n, nodes, sketches, wide = [], [], [], []
+            none = np.zeros(0, np.int64)
             for s in text_sets(part.column("text"), width):
                 node = node_of(s) if len(s) else 0
                 new = len(s) > 0 and node not in done
                 done.add(node)
                 n.append(len(s))
                 nodes.append(node)
-                sketches.append(_sketch(s) if new else np.zeros(0, np.int64))
-            sketch = tk.list_array(np.concatenate(sketches), np.cumsum([0, *map(len, sketches)]))
+                sketches.append(_sketch(s) if new else none)
+                wide.append(_sketch(s, WIDE_WORDS) if new and len(s) > WIDE_FROM else none)
+            lists = [tk.list_array(np.concatenate(x), np.cumsum([0, *map(len, x)])) for x in (sketches, wide)]
             node = pa.array(tk.signed(np.array(nodes, np.uint64)), mask=np.array(n) == 0)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), node, sketch], names=["doc_id", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), node, *lists], names=["doc_id", "n_shingles", "node", "sketch", "wide"])
 
     return run
 
@@ -186,17 +196,36 @@ def _hamming(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_WORDS)), F.lit(0))
 
 
+def _bound(distance: Column, percent: int) -> Column:
+    """Whether sets of na and nb shingles can link if their sketches are so far apart."""
+    return distance * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+
+
 def _near(percent: int) -> Column:
     """Whether (na, ka) and (nb, kb) can link by their sizes and sketches."""
-    bound = (F.col("na") + F.col("nb")) * (100 - percent)
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_hamming("ka", "kb") * (100 + percent) <= bound)
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _bound(_hamming("ka", "kb"), percent)
 
 
-def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of (a, b, na, nb) whose sets link."""
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+def _far(percent: int) -> Column:
+    """Whether the wide sketches wa and wb tell that a pair cannot link; they do not if a set has none."""
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return (F.size("wa") > 0) & (F.size("wb") > 0) & ~_bound(apart, percent)
+
+
+def _verified(near: DataFrame, nodes: DataFrame, seen: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, na, nb) whose sets link; sets are made anew, of the texts in question only."""
+    wide = lambda c: nodes.select(F.col("node").alias(c), F.col("wide").alias(f"w{c}"))
+    near = durable(near.join(wide("a"), "a").join(wide("b"), "b").where(~_far(percent)).select("a", "b", "na", "nb"), "near")
+    small = F.broadcast if near.count() <= FEW else lambda df: df
+    ids = durable(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "compared")
+    rows = durable(seen.where("node is not null").select("node", "doc_id").join(small(ids), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "rows")
+    texts = docs.join(small(rows), docs.doc_id.eqNullSafe(rows["_id"]), "left_semi")
+    held = durable(texts.mapInArrow(_sets(width), _SETS).join(small(ids), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    both = near.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    links = durable(both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
+    discard(near, ids, rows, held)
+    return links
 
 
 def _empty(df: DataFrame) -> bool:
@@ -204,27 +233,32 @@ def _empty(df: DataFrame) -> bool:
 
 
 def _flatten(parent: DataFrame) -> DataFrame:
-    """Follow (comp, up) pointers, each to a smaller component, to their roots by pointer doubling."""
-    while True:
+    """Follow the (comp, up) pointers of a table, each to a smaller component, to their roots by pointer doubling."""
+    moved = True
+    while moved:
         upper = parent.select(F.col("comp").alias("_c"), F.col("up").alias("_u"))
         step = durable(parent.join(upper, parent.up == F.col("_c"), "left").select("comp", F.coalesce("_u", "up").alias("up"), F.col("_u").isNotNull().alias("moved")), "pointers")
-        parent = step.select("comp", "up")
-        if _empty(step.where("moved")):
-            return parent
+        discard(parent)
+        moved, parent = not _empty(step.where("moved")), step
+    return parent
 
 
 def merge(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """Merge the components (node, comp) along verified links (a, b) until no link crosses two."""
+    """Merge the components (node, comp) along verified links (a, b), until no link crosses two; both tables are used up."""
     while True:
         left = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
         right = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        cross = durable(links.join(left, "a").join(right, "b").where("ca <> cb"), "links")
+        cross = durable(links.select("a", "b").join(left, "a").join(right, "b").where("ca <> cb"), "links")
+        discard(links)
         if _empty(cross):
+            discard(cross)
             return comps
         up = cross.groupBy(F.greatest("ca", "cb").alias("comp")).agg(F.min(F.least("ca", "cb")).alias("up"))
-        root = _flatten(durable(up, "pointers")).withColumnRenamed("comp", "_c")
-        comps = durable(comps.join(root, comps.comp == F.col("_c"), "left").select("node", F.coalesce("up", "comp").alias("comp")), "components")
-        links = cross.select("a", "b")
+        root = _flatten(durable(up, "pointers"))
+        above = root.select(F.col("comp").alias("_c"), "up")
+        now = durable(comps.join(above, comps.comp == F.col("_c"), "left").select("node", F.coalesce("up", "comp").alias("comp")), "components")
+        discard(comps, root)
+        comps, links = now, cross
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -234,41 +268,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     words, lower-cased in A-Z; component_id is the smallest doc_id reachable by links. Null and
     empty texts have no shingles and are alone under their own id. Rows with equal sets share a
     component; repeated rows and ids come out once a row. Null ids are ignored by the minimum, and
-    a component of null ids only has a null id. Other columns are not read.
+    a component of null ids only has a null id. Very long texts are sets like any other, and no rows
+    give none. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = durable(docs.mapInArrow(_describe(width), _SCHEMA), "shingles")
     # keys are made in a pass of their own and go straight into the shuffle: stored, they would double its disk
     met = docs.mapInArrow(_keyed(width, percent), _KEYS).select("node", F.explode("keys").alias("key")).repartition("key")
     same = Window.partitionBy("key")
-    shared = met.withColumn("hub", F.min("node").over(same)).withColumn("_last", F.max("node").over(same)).where("hub <> _last")
-    shared = durable(shared.select("key", "node", "hub"), "met")
-    hubs = durable(shared.groupBy("node").agg(F.min("hub").alias("hub")), "hubs")
-    described = seen.where(F.size("sketch") > 0).select("node", "n_shingles", "sketch")
-    nodes = durable(described.join(hubs, "node", "left_semi").dropDuplicates(["node"]), "nodes")
-    wanted = seen.where("node is not null").select("node", "doc_id").join(hubs, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted["_id"]), "left_semi")
-    sets = durable(texts.mapInArrow(_sets(width), _SETS).join(hubs.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    met = met.select("node", F.min("node").over(same).alias("hub"), F.max("node").over(same).alias("_last"), F.count("*").over(same).alias("_n"), F.bit_xor(F.xxhash64("node")).over(same).alias("_all"))
+    shared = durable(met.where("hub <> _last").select(F.xxhash64("hub", "_last", "_n", "_all").alias("key"), "node", "hub").distinct(), "met")
+    members = durable(shared.select("node").distinct(), "members")
+    described = seen.where(F.size("sketch") > 0).select("node", "n_shingles", "sketch", "wide")
+    nodes = durable(described.join(members, "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    verified = lambda pairs: _verified(pairs, nodes, seen, docs, width, percent)
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
-    first = hubs.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).join(side("a"), "a").join(side("b"), "b")
-    links = durable(_verified(first.where(_near(percent)).select("a", "b", "na", "nb"), sets, percent), "links")
-    comps = merge(durable(hubs.select("node", F.col("node").alias("comp")), "components"), links)
-    left, leaders = shared.select("key", "node").distinct(), LEADERS
+    first = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    links = verified(first.where(_near(percent)).select("a", "b", "na", "nb"))
+    comps = merge(durable(members.select("node", F.col("node").alias("comp")), "components"), links)
+    left, leaders = durable(shared.where("node <> hub").select("key", "node"), "left"), LEADERS
+    discard(shared, members)
     while True:
         now = left.join(comps, "node")
         open_keys = now.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("key")
         ranked = now.join(open_keys, "key", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")))
         ranked = durable(ranked, "open")
+        discard(left)
         if _empty(ranked):
             break
         # sizes and sketches are compared inside the join, so it puts out only pairs that may link
-        known = ranked.join(nodes, "node")
+        known = ranked.join(nodes.drop("wide"), "node")
         lead = known.where(F.col("rank") <= leaders).select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
         rest = known.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("rank").alias("rb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
         pairs = rest.join(lead, "key").where((F.col("rb") > F.col("ra")) & (F.col("ca") != F.col("cb")) & _near(percent)).select("a", "b", "na", "nb").distinct()
-        comps = merge(comps, durable(_verified(pairs, sets, percent), "links"))
-        left, leaders = ranked.where(F.col("rank") > leaders).select("key", "node"), 8 * leaders
+        comps = merge(comps, verified(pairs))
+        left, leaders = durable(ranked.where(F.col("rank") > leaders).select("key", "node"), "left"), 8 * leaders
+        discard(ranked)
+    discard(ranked, nodes)
 
     placed = seen.select("doc_id", "n_shingles", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # ids of a component: one partial minimum a task, so a component may hold any share of the rows
