@@ -9,6 +9,10 @@ Payloads that occur more than once and have at least REVISIT_BYTES are stored on
 with the smallest id; the others are revisit records without payload. Which payloads repeat comes
 from a pre-aggregated count of digests, and only those digests are joined back.
 
+Payloads are packed a bounded number of bytes at a time. A record's identifier is made of the page's
+id, its archive and its place among the rows of its task, so that rows with repeated or null ids have
+identifiers of their own. Bundles are dealt out evenly to as many reading tasks as there are bundles.
+
 Tasks write through the file system of the target URI, each attempt to a name of its own; only
 bundles named in the committed index exist to readers, so a task that ran twice leaves no double.
 """
@@ -24,9 +28,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .common import durable, owned, shared_dir, table
 
 # Fixed values of the public seekable Zstandard format.
@@ -35,6 +41,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
 REVISIT_BYTES = 100
+#: Reading tasks at most; with more bundles each task reads several, one after the other.
+READERS = 1 << 16
 _INDEX = "page_id long, record_id string, file string, frame int, frame_offset long, length long"
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
 
@@ -98,17 +106,22 @@ class BundleReader:
         self.file.close()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(target: str, page_id: int | None, task: int, row: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{target}/page:{page_id}/{task}/{row}')}>"
+
 
+def _header(value: str) -> str:
+    """A url as it may stand in a header line, which control characters must not end."""
+    return "".join(f"%{ord(c):02X}" if c < " " or c in "%\x7f" else c for c in value)
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+
+def make_record(name: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_to_url: str | None, date: str) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {name}",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -117,10 +130,12 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     ]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
-    if url is not None:  # control characters must not end a header line
-        lines.append("WARC-Target-URI: " + "".join(f"%{ord(c):02X}" if c < " " or c in "%\x7f" else c for c in url))
+    if url is not None:
+        lines.append(f"WARC-Target-URI: {_header(url)}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        if refers_to_url is not None:
+            lines += [f"WARC-Refers-To-Target-URI: {_header(refers_to_url)}", f"WARC-Refers-To-Date: {date}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -154,21 +169,23 @@ def _write(target: str, date: str):
     def run(batches):
         fs, path = pyarrow.fs.FileSystem.from_uri(target)
         fs.create_dir(path, recursive=True)
-        out, rows = None, []
+        out, rows, task, row = None, [], TaskContext.get().partitionId(), 0
         names = ["page_id", "record_id", "file", "frame", "frame_offset", "length"]
         types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
 
         def packed():
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
 
-        for batch in batches:
-            for page, url, html, digest, refers in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to"))):
+        for batch in tk.pieces(batches, "html"):
+            for page, url, html, digest, refers, refers_url in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to", "refers_to_url"))):
                 if out is None:
                     name = f"bundle-{uuid.uuid4().hex}.warc.zst"
                     out = BundleWriter(fs.open_output_stream(f"{path}/{name}", compression=None))
-                record = make_record(page, url, (html or "").encode(), digest, refers, date)
+                own = record_id(target, page, task, row)
+                row += 1
+                record = make_record(own, page, url, (html or "").encode(), digest, refers, refers_url, date)
                 frame, at = out.add(record)
-                rows.append((page, record_id(page), f"{target}/{name}", frame, at, len(record)))
+                rows.append((page, own, f"{target}/{name}", frame, at, len(record)))
                 if out.written >= BUNDLE_BYTES:
                     out.close()
                     out = None
@@ -188,16 +205,19 @@ def write_archives(pages: DataFrame, target: str, date: str = "2024-01-01T00:00:
 
     Null html is an empty payload and null url no target header. A null id makes a record that no
     revisit refers to. Rows that repeat the smallest id of their payload are stored as responses
-    each. Every row has one record and one index row (page_id, record_id, file, frame,
-    frame_offset, length). No rows write no bundle. Other columns are not read.
+    each. Every row has one record, under an identifier of its own, and one index row (page_id, record_id,
+    file, frame, frame_offset, length). A payload larger than a frame is a frame, whole. All records have
+    the one ``date``. No rows write no bundle. Other columns are not read.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     long = pages.where(F.octet_length("html") >= REVISIT_BYTES)
-    again = durable(long.groupBy(F.col("digest").alias("_d")).agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1 and first is not null").select("_d", "first"), "payloads")
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    again = long.groupBy(F.col("digest").alias("_d")).agg(least.alias("first"), F.count("*").alias("_n")).where("_n > 1 and first is not null")
+    again = durable(again.select("_d", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "payloads")
     rows = pages.join(again, F.col("digest") == F.col("_d"), "left")
-    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    rows = rows.select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"), F.when(other, F.col("first_url")).alias("refers_to_url"))
     return durable(rows.mapInArrow(_write(target.rstrip("/"), date), _INDEX), "warc-index")
 
 
@@ -220,10 +240,13 @@ def _read(keep: bool):
 
 
 def read_archives(index: DataFrame, payload: bool = True) -> DataFrame:
-    """All records of the bundles that an index names; payloads are checked against their digests."""
-    spark = index.sparkSession
-    files = index.select("file").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
-    return files.mapInArrow(_read(payload), _RECORD)
+    """All records of the bundles that an index names; payloads are checked against their digests.
+
+    An empty index has none. A bundle is read by one task, a frame at a time.
+    """
+    files = durable(index.select("file").distinct(), "bundles")
+    # dealt out in turn to a given number of tasks, which Spark does not merge again however short the names are
+    return files.repartition(max(1, min(READERS, files.count()))).mapInArrow(_read(payload), _RECORD)
 
 
 def _fetch(batches):
