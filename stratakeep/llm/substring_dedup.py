@@ -261,7 +261,7 @@ def _cut(width: int):
                 gone = np.cumsum(step)[:n] > 0
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([body[starts[a + j] : ends[a + j]] for j in np.flatnonzero(~gone).tolist()]))
-            yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array(removed, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())], names=["sid", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["sid", "n_removed", "kept"])
 
     return run
 
@@ -292,19 +292,21 @@ def cut_repeats(docs: DataFrame, width: int = 35, text: bool = True) -> DataFram
     packed = docs.mapInArrow(_packed(width), "sid long, data binary")
     windows = packed.join(_marks(hits.where("mixed")), "sid").mapInArrow(_border_windows(width), "sid long, p int, w1 long, w2 long")
     windows = durable(windows, "windows").withColumn("occ", F.xxhash64("sid", "p"))
+    # a table of its own, so that both sides of the join are plain exchanges and Spark can split a hot window's rows
     twice = windows.groupBy("w1", "w2").agg(F.min("occ").alias("o1"), F.max("occ").alias("o2")).where("o1 <> o2").select(F.col("w1").alias("_1"), F.col("w2").alias("_2"))
+    twice = durable(twice, "twice")
     border = windows.join(twice, (F.col("w1") == F.col("_1")) & (F.col("w2") == F.col("_2"))).select("sid", F.col("p").alias("lo"), F.lit(1).alias("cnt"))
     own = seen.where(F.size("own") > 0).select("sid", F.explode("own").alias("lo"), F.lit(1).alias("cnt"))
     copies = durable(seen.where(F.col("n_words") >= width).groupBy("sid").agg(F.count("*").alias("n")).where("n > 1").select("sid"), "copies")
     ranges = _marks(hits.where("not mixed").select("sid", "lo", "cnt").union(border).union(own)).join(copies, "sid", "left_anti")
-    cut = packed.join(ranges, "sid").mapInArrow(_cut(width), "sid long, n_removed long, kept string")
-    cut = cut.select("sid", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("sha"), *(["kept"] if text else [])).dropDuplicates(["sid"])
+    cut = packed.join(ranges, "sid").mapInArrow(_cut(width), "sid long, n_removed long, kept binary")
+    cut = cut.select("sid", "n_removed", F.sha2("kept", 256).alias("sha"), *(["kept"] if text else [])).dropDuplicates(["sid"])
     cut = cut.select(F.col("sid").alias("_cut"), F.col("n_removed").alias("_n"), "sha", *(["kept"] if text else []))
     out = seen.select("doc_id", "sid", "n_words", "whole").join(cut, F.col("sid") == F.col("_cut"), "left").join(copies.select(F.col("sid").alias("_copy")), F.col("sid") == F.col("_copy"), "left")
     copy = F.col("_copy").isNotNull() & (F.col("n_words") >= width)
     columns = ["doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("_n", F.lit(0).cast("long"))).alias("n_removed"), F.when(copy, F.lit(EMPTY_SHA)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256")]
     if text:
-        columns.append(F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept_text"))
+        columns.append(F.when(copy, F.lit("")).otherwise(F.col("kept").cast("string")).alias("kept_text"))
     return out.select(*columns)
 
 
