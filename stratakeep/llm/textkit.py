@@ -146,6 +146,17 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
+def grid(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``sizes`` entries dealt to rows of ``width`` places, the last row of a run filled up with one place behind all; and each run's first row."""
+    rows = -(-sizes // width)
+    first = np.cumsum(rows) - rows
+    begin = np.cumsum(sizes) - sizes
+    n = int(sizes.sum())
+    out = np.full(int(rows.sum()) * width, n)
+    out[np.arange(n) + np.repeat(first * width - begin, sizes)] = np.arange(n)
+    return out.reshape(-1, width), first
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
