@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .functions import pack_position, position_offset, position_segment
 from .operators import digest, membership, mutate
 from .operators.query import Indexes, Result, get, keys, multi_get
-from .plans.changelog import COMMIT, DELETE, PUT, ROLLBACK, change_log, next_transaction_id, segment_stats, violations
+from .plans.changelog import COMMIT, DELETE, PUT, ROLLBACK, change_log, entry_at, next_transaction_id, segment, segment_stats, violations
 from .plans.links import broken_links, link_duplicates, link_stats, resolve
-from .plans.replay import compacted, latest, reclaim, state, visible
+from .plans.replay import compacted, latest, latest_over, reclaim, state, visible
 from .sources.commands import parse, restore, snapshot
 from .sources.indexed_log import bounds, without_range
 
@@ -507,3 +507,35 @@ def kv_first_writer_wins(spark, d):
 @query(f"with {USER_SQL} select key, pos, case when event_type = 'error' then 1 else 0 end::integer as type from (select *, row_number() over (partition by key order by pos desc) as rn from u) where rn = 1")
 def kv_latest_entries(spark, d):
     return latest(user_log(spark, d, deletes=True)).select("key", "pos", "type")
+
+
+@query("select p_partkey::varchar as key, true as might_contain from part where p_partkey % 2 = 0")
+def kv_bloom_added(spark, d):
+    """Every added key may be in the filter."""
+    p = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("key")).where(F.col("p_partkey") % 2 == 0)
+    return membership.might_contain(p, membership.build(p))
+
+
+def _segmented(spark, d):
+    e = read(spark, d, "events")
+    return change_log(e, pack_position(F.floor(F.col("event_id") / 100) + 1, F.col("event_id") % 100), "user_id", cents())
+
+
+@query("select ((event_id // 100 + 1) << 32) + event_id % 100 as pos, user_id::varchar as key, round(value * 100)::bigint as v from events where event_id = 150")
+def kv_entry_at(spark, d):
+    """One entry of the log by its position."""
+    return entry_at(_segmented(spark, d), (2 << 32) + 50).select("pos", "key", F.col("value").alias("v"))
+
+
+@query("select ((event_id // 100 + 1) << 32) + event_id % 100 as pos, user_id::varchar as key, round(value * 100)::bigint as v from events where event_id between 200 and 299")
+def kv_segment_scan(spark, d):
+    """The entries of one sealed segment."""
+    return segment(_segmented(spark, d), 3).select("pos", "key", F.col("value").alias("v"))
+
+
+@query("select user_id::varchar as key, max(event_id) as pos from events group by user_id")
+def kv_base_and_tail(spark, d):
+    """A compacted log and the entries behind it give the state of the whole log."""
+    log = change_log(read(spark, d, "events"), "event_id", "user_id", cents())
+    cut = 5000 if log.where("pos >= 5000").take(1) else 50
+    return latest_over(compacted(log.where(F.col("pos") < cut)), log.where(F.col("pos") >= cut)).select("key", "pos")

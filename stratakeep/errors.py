@@ -33,6 +33,10 @@ class VersionConflict(StoreError):
     """Another writer has published the version first."""
 
 
+class VersionNotFound(StoreError):
+    """The version has not been published, or what it needs has been deleted."""
+
+
 class Corrupt(StoreError):
     """Stored data break a rule of the log or do not match their checksums."""
 

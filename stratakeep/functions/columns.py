@@ -40,14 +40,15 @@ def live(expires: Column | str, now_ns: int) -> Column:
 
 
 def canonical(value: Column | str, kind: T.DataType) -> Column:
-    """Bytes of a value for digests: strings as UTF-8, binary as is, structs as fields joined by ``|``.
+    """Bytes of a value for digests: strings as UTF-8, binary as is, structs as their fields, each behind its length.
 
-    Null fields are empty, so a digest does not tell null from empty.
+    A field's length is in bytes and ends with ``:``; a null field is ``-``, so that no two structs share their bytes.
     """
     value = _col(value)
     if isinstance(kind, T.BinaryType):
         return value
     if isinstance(kind, T.StructType):
-        parts = [F.coalesce(value[f.name].cast("string"), F.lit("")) for f in kind.fields]
-        return F.encode(F.concat_ws("|", *parts), "UTF-8")
+        text = [value[f.name].cast("string") for f in kind.fields]
+        parts = [F.when(t.isNull(), "-").otherwise(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t)) for t in text]
+        return F.encode(F.concat(*parts), "UTF-8")
     return F.encode(F.coalesce(value.cast("string"), F.lit("")), "UTF-8")

@@ -42,6 +42,15 @@ def tree_root(leaf: DataFrame, count: int = 4096) -> DataFrame:
     return root(buckets(leaf, count).select(F.col("bucket").alias("key"), "leaf"))
 
 
+def sized_root(leaf: DataFrame, few: int = 1 << 22, per_bucket: int = 1 << 16) -> DataFrame:
+    """(root): :func:`root` of up to ``few`` keys, beyond that :func:`tree_root` with buckets as many as the keys ask for.
+
+    Which one it is depends on the number of keys only, so equal states have equal roots.
+    """
+    n = leaf.count()
+    return root(leaf) if n <= few else tree_root(leaf, -(-n // per_bucket))
+
+
 def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """(key, side) where two leaf sets differ: only in ``left``, only in ``right``, or ``changed``."""
     a = left.select(F.col("key").alias("_a"), F.col("leaf").alias("_la"))

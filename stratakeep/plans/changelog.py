@@ -79,3 +79,13 @@ def segment_stats(log: DataFrame) -> DataFrame:
 
     s = log.groupBy(position_segment("pos").alias("segment")).agg(F.count("*").alias("entries"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     return s.withColumn("active", F.col("segment") == F.max("segment").over(Window.partitionBy()))
+
+
+def entry_at(log: DataFrame, pos: int) -> DataFrame:
+    """The entry at a position, none if there is none; the filter reaches the scan."""
+    return log.where(F.col("pos") == pos)
+
+
+def segment(log: DataFrame, number: int) -> DataFrame:
+    """The entries of one segment in order of position; a range of positions, which prunes row groups."""
+    return log.where((F.col("pos") >= number << 32) & (F.col("pos") < (number + 1) << 32)).orderBy("pos")

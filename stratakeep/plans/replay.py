@@ -36,13 +36,29 @@ def latest(log: DataFrame) -> DataFrame:
     return visible(log).groupBy("key").agg(F.max_by(entry, F.struct("eff", "pos")).alias("_e")).select("key", "_e.*")
 
 
+def latest_over(base: DataFrame, tail: DataFrame) -> DataFrame:
+    """:func:`latest` of a compacted log and the entries behind it; only the tail is aggregated.
+
+    A compacted log has one plain put a key, and every entry of the tail comes later, so the
+    base's entry counts for the keys that the tail does not touch. A small tail is joined by broadcast.
+    """
+    now = latest(tail)
+    touched = now.select(F.col("key").alias("_touched"))
+    return base.join(touched, F.col("key") == F.col("_touched"), "left_anti").select(*now.columns).unionByName(now)
+
+
 def state(log: DataFrame, now_ns: int, include_expired: bool = False, link_depth: int = 0) -> DataFrame:
     """(key, value, expires_at_ns, pos) of the live keys at ``now_ns``.
 
     ``link_depth``: links of up to so many hops are followed to their values; 0 for logs without links.
     ``include_expired`` keeps values whose time is over but which nothing has overwritten.
     """
-    current = latest(log).where(F.col("type") != DELETE)
+    return settled(latest(log), log, now_ns, include_expired, link_depth)
+
+
+def settled(entries: DataFrame, log: DataFrame, now_ns: int, include_expired: bool = False, link_depth: int = 0) -> DataFrame:
+    """The state that the entries which count make; links lead into ``log``."""
+    current = entries.where(F.col("type") != DELETE)
     if not include_expired:
         current = current.where(live("expires_at_ns", now_ns))
     if link_depth:
@@ -75,4 +91,4 @@ def reclaim(log: DataFrame, size) -> DataFrame:
     return sums.select("entries", "kept", (F.col("entries") - F.col("kept")).alias("dead"), "bytes", "kept_bytes", (F.col("bytes") - F.col("kept_bytes")).alias("dead_bytes"))
 
 
-__all__ = ["LINK", "compacted", "latest", "reclaim", "state", "visible"]
+__all__ = ["LINK", "compacted", "latest", "latest_over", "reclaim", "settled", "state", "visible"]

@@ -5,51 +5,69 @@ whole and under a number that nobody has taken. Files without a manifest do not
 so a torn write needs no repair. Every version is atomic: its entries carry no transaction markers.
 A compaction publishes a *base* version that replaces all earlier ones; reading starts at the newest.
 
-Each row has a checksum and each manifest the number of rows and the XOR of their checksums.
+Each row has a checksum and each manifest the number of rows and the XOR of their checksums. A base's
+manifest also remembers the batches that have been written, so that they stay known after a vacuum.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import Closed, CommitUncertain, ConditionFailed, Corrupt, InvalidCondition, KeyExists, VersionConflict
+from ..errors import Closed, CommitUncertain, ConditionFailed, Corrupt, InvalidCondition, KeyExists, StoreError, VersionConflict, VersionNotFound
 from ..functions import expires_at, pack_position
 from ..operators import digest as digests
 from ..operators.query import Indexes, Result, for_each, get_value, multi_get
 from ..operators.transaction import Transaction
-from ..plans.changelog import COLUMNS, DELETE, PUT, log_schema, violations
+from ..plans.changelog import COLUMNS, DELETE, PUT, entry_at, log_schema, segment, violations
 from ..plans.links import broken_links, link_duplicates
-from ..plans.replay import compacted, reclaim, state
+from ..plans.replay import compacted, latest, latest_over, reclaim, settled
 from .files import Files, WriterLock
 
-_NEVER = 1 << 62
-
 
 class Store:
     """Opened by :meth:`open`; also a context manager."""
 
-    def __init__(self, spark: SparkSession, files: Files, value: T.DataType, dedup: bool, clock: Callable[[], int], lock: WriterLock | None):
+    def __init__(self, spark: SparkSession, files: Files, value: T.DataType, dedup: bool, clock: Callable[[], int], lock: WriterLock | None, cache: int = 0, options: dict[str, str] | None = None):
         self.spark, self.files, self.value_type, self.dedup, self.clock = spark, files, value, dedup, clock
         self.indexes = Indexes()
         self._lock, self._closed = lock, False
         self._manifests: dict[int, dict] = {}
         self._row = T.StructType([*log_schema(value).fields, T.StructField("check", T.LongType())])
+        self._options = options or {}
+        self._cache, self._cache_size, self._cached_at = OrderedDict(), cache, 0
+        self._compactor: tuple[threading.Thread, threading.Event] | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, value: T.DataType | str = "string", dedup: bool = False, clock: Callable[[], int] = time.time_ns, readonly: bool = False) -> Store:
-        """Open or create a store; values have one type, a Spark type or its DDL."""
+    def open(
+        cls, spark: SparkSession, path: str, value: T.DataType | str = "string", dedup: bool = False, clock: Callable[[], int] = time.time_ns, readonly: bool = False,
+        cache: int = 0, rows_per_file: int = 0, bloom_keys: int | None = None,
+    ) -> Store:
+        """Open or create a store; values have one type, a Spark type or its DDL.
+
+        ``cache``: so many values that :meth:`get` has read are kept until the next version. ``rows_per_file``: files of
+        a version are cut at so many rows (0: not at all). ``bloom_keys``: the keys that the bloom filter of a row
+        group is sized for; 0 writes none.
+        """
         value = T._parse_datatype_string(value) if isinstance(value, str) else value
         files = Files(spark, path)
         files.make("_log")
-        store = cls(spark, files, value, dedup, clock, None if readonly else WriterLock(files))
+        # Parquet bloom filters on the key let point reads skip row groups
+        options = {"compression": "zstd", "parquet.bloom.filter.enabled#key": str(bloom_keys != 0).lower()}
+        if bloom_keys:
+            options["parquet.bloom.filter.expected.ndv#key"] = str(bloom_keys)
+        if rows_per_file:
+            options["maxRecordsPerFile"] = str(rows_per_file)
+        store = cls(spark, files, value, dedup, clock, None if readonly else WriterLock(files), cache, options)
         store.refresh()
         return store
 
@@ -60,6 +78,7 @@ class Store:
         self.close()
 
     def close(self) -> None:
+        self.stop_compactor()
         if self._lock:
             self._lock.release()
         self._closed = True
@@ -80,31 +99,70 @@ class Store:
         return max(self._manifests, default=0)
 
     def _live_manifests(self, version: int | None = None) -> list[dict]:
+        """Manifests of the newest base and what follows it; for an older version those that it was made of."""
+        if version is not None and version not in self._manifests and not (version == 0 and (1 in self._manifests or not self._manifests)):
+            raise VersionNotFound(f"version {version}; there are {min(self._manifests, default=0)} to {self.version}")
         upto = [m for v, m in sorted(self._manifests.items()) if version is None or v <= version]
         base = max((i for i, m in enumerate(upto) if m["kind"] == "base"), default=0)
         return upto[base:]
 
-    def log(self, version: int | None = None) -> DataFrame:
-        """The change log as of a version (the newest known one by default), read from its newest base on."""
+    def _read(self, manifests: list[dict]) -> DataFrame:
         if self._closed:
             raise Closed(self.files.root)
-        folders = [f"{self.files.root}/data/{m['dir']}" for m in self._live_manifests(version) if m["rows"]]
+        folders = [f"{self.files.root}/data/{m['dir']}" for m in manifests if m["rows"]]
         rows = self.spark.read.schema(self._row).parquet(*folders) if folders else self.spark.createDataFrame([], self._row)
         return rows.select(*COLUMNS)
 
+    def log(self, version: int | None = None) -> DataFrame:
+        """The change log as of a version (the newest known one by default), read from its newest base on.
+
+        A version that does not exist, or that a vacuum has taken the entries of, raises VersionNotFound.
+        """
+        return self._read(self._live_manifests(version))
+
+    def version_log(self, version: int) -> DataFrame:
+        """The entries of one version alone in order of position; those of a base keep the positions of the versions that it replaces."""
+        self._live_manifests(version)
+        return self._read([m for m in (self._manifests.get(version),) if m]).orderBy("pos")
+
+    def entry(self, pos: int) -> DataFrame:
+        """The entry at a position, as far as the log still holds it; without a base only one version is read."""
+        live = self._live_manifests()
+        own = [m for m in live if m["kind"] == "base" or m["version"] == pos >> 32]
+        return entry_at(self._read(own), pos)
+
+    def segment(self, number: int) -> DataFrame:
+        """The entries that were written as one version, as far as the log still holds them."""
+        live = self._live_manifests()
+        return segment(self._read([m for m in live if m["kind"] == "base" or m["version"] == number]), number)
+
     def state(self, now_ns: int | None = None, include_expired: bool = False, version: int | None = None) -> DataFrame:
-        """(key, value, expires_at_ns, pos) of live keys; one clock reading serves the whole plan."""
-        return state(self.log(version), self.clock() if now_ns is None else now_ns, include_expired, 2 if self.dedup else 0)
+        """(key, value, expires_at_ns, pos) of live keys; one clock reading serves the whole plan.
+
+        Behind a base only the versions after it are aggregated; a lone base is read as it is.
+        """
+        live = self._live_manifests(version)
+        log, behind = self._read(live), [m for m in live[1:] if m["rows"]]
+        depth = 2 if self.dedup else 0
+        if live and live[0]["kind"] == "base":
+            base = self._read(live[:1])
+            entries, depth = (latest_over(base, self._read(behind)), depth) if behind else (base, 0)  # a base has no links
+        else:
+            entries = latest(log)
+        return settled(entries, log, self.clock() if now_ns is None else now_ns, include_expired, depth)
 
     # writing
 
     def _publish(self, rows: DataFrame, base: int, kind: str = "append", tag: str | None = None) -> int:
         version, folder = base + 1, f"v{base + 1:012d}-{uuid.uuid4().hex}"
         where = f"{self.files.root}/data/{folder}"
-        # Parquet bloom filters on the key let point reads skip row groups
-        rows.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("check")).write.option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").parquet(where)
-        seen = self.spark.read.schema(self._row).parquet(where).agg(F.count("*").alias("n"), F.coalesce(F.bit_xor("check"), F.lit(0)).alias("x")).first()
-        manifest = {"version": version, "kind": kind, "dir": folder, "rows": seen["n"], "checks": seen["x"], "at_ns": self.clock(), "tag": tag}
+        # counted on the way to the files, which need not be read again
+        seen = Observation()
+        rows = rows.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("check")).observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor("check"), F.lit(0)).alias("x"))
+        rows.write.options(**self._options).parquet(where)
+        manifest = {"version": version, "kind": kind, "dir": folder, "rows": seen.get["n"], "checks": seen.get["x"], "at_ns": self.clock(), "tag": tag}
+        if kind == "base":
+            manifest["done"] = self._done()
         try:
             self.files.publish(f"_log/{version:020d}.json", json.dumps(manifest))
         except VersionConflict:
@@ -115,10 +173,33 @@ class Store:
         self._manifests[version] = manifest
         return version
 
+    def _done(self) -> dict[str, int | None]:
+        """Batches in the log: of tags like ``name/number`` the last number of each name, other tags as they are."""
+        done: dict[str, int | None] = {}
+        for m in self._manifests.values():
+            marks = list(m.get("done", {}).items())
+            if m.get("tag") is not None:
+                name, slash, number = m["tag"].rpartition("/")
+                marks.append((name, int(number)) if slash and number.isdecimal() else (m["tag"], None))
+            for name, number in marks:
+                last = done.get(name)
+                done[name] = number if last is None else last if number is None else max(last, number)
+        return done
+
+    def _is_done(self, tag: str) -> bool:
+        done = self._done()
+        name, slash, number = tag.rpartition("/")
+        if slash and number.isdecimal():
+            return done.get(name) is not None and int(number) <= done[name]
+        return tag in done
+
     def _linked(self, rows: DataFrame, version: int) -> DataFrame:
+        """The new rows with links for values that the log holds; of the old ones only those whose value may be among the new take part."""
         if not self.dedup:
             return rows
-        old = self.log(version - 1).where(F.col("type") == PUT)
+        fresh = rows.where((F.col("type") == PUT) & F.col("value").isNotNull()).select(F.xxhash64("value").alias("_hash")).distinct()
+        old = self.log(version - 1).where((F.col("type") == PUT) & F.col("value").isNotNull())
+        old = old.join(fresh, F.xxhash64("value") == F.col("_hash"), "left_semi")
         return link_duplicates(old.unionByName(rows)).where(F.col("pos") >= F.lit(version << 32))
 
     def _append_rows(self, ops: list[tuple[int, str, object, int]], now_ns: int, base: int) -> int:
@@ -169,10 +250,11 @@ class Store:
         """Append a batch of any size as one version: (key, value) and perhaps ttl_ns and ord.
 
         ``ord`` (unique, 0 to 2**32 - 1) orders operations on the same key; without it each key must
-        occur once. ``tag`` names the batch: one whose tag is in the log already is not written again.
+        occur once. ``tag`` names the batch: one whose tag is in the log already is not written again, compacted or
+        not. Batches of tags like ``name/number`` come in order, so a number up to the last one counts as written.
         """
         base = self.refresh()
-        if tag is not None and any(m.get("tag") == tag for m in self._manifests.values()):
+        if tag is not None and self._is_done(tag):
             return base
         ttl = F.coalesce(F.col("ttl_ns"), F.lit(0)) if "ttl_ns" in batch.columns else F.lit(0)
         value = F.lit(None).cast(self.value_type) if delete else F.col("value").cast(self.value_type)
@@ -212,7 +294,21 @@ class Store:
     # reading
 
     def get(self, key: str):
-        return get_value(self.state(), key)["value"]
+        """The live value of a key; one that the cache holds for the newest known version costs no job."""
+        if self._closed:
+            raise Closed(self.files.root)
+        if self._cached_at != self.version:
+            self._cache.clear()
+            self._cached_at = self.version
+        now, row = self.clock(), self._cache.get(key)
+        if row is None or 0 < row["expires_at_ns"] <= now:
+            row = get_value(self.state(now), key)
+        if self._cache_size:
+            self._cache[key] = row
+            self._cache.move_to_end(key)
+            while len(self._cache) > self._cache_size:
+                self._cache.popitem(last=False)
+        return row["value"]
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
         return multi_get(self.state(), keys)
@@ -234,7 +330,9 @@ class Store:
         return Result(self.state())
 
     def digest(self, now_ns: int | None = None, include_expired: bool = False) -> str:
-        return digests.root(digests.leaves(self.state(now_ns, include_expired))).first()["root"]
+        """Digest of the state; of a large one by levels, see :func:`~stratakeep.operators.digest.sized_root`."""
+        now = self.clock() if now_ns is None else now_ns
+        return digests.sized_root(digests.leaves(self.state(now, include_expired))).first()["root"]
 
     # upkeep
 
@@ -246,6 +344,36 @@ class Store:
             return base
         return self._publish(compacted(self.log(base), 2 if self.dedup else 0), base, "base")
 
+    def start_compactor(self, every_s: float, versions: int = 2) -> None:
+        """Compact and vacuum in the background whenever so many versions have piled up, looking every so many seconds.
+
+        A failed attempt changes nothing and is made again at the next look. A vacuum takes older versions from
+        readers, as always. Ends with :meth:`stop_compactor` or :meth:`close`.
+        """
+        self.stop_compactor()
+        end = threading.Event()
+
+        def run() -> None:
+            while not end.wait(every_s):
+                try:
+                    self.refresh()
+                    if len(self._live_manifests()) >= versions:
+                        self.compact()
+                        self.vacuum()
+                except StoreError:  # another writer came first, or the store has been closed
+                    continue
+
+        thread = threading.Thread(target=run, name="compactor", daemon=True)
+        self._compactor = thread, end
+        thread.start()
+
+    def stop_compactor(self) -> None:
+        if self._compactor:
+            thread, end = self._compactor
+            end.set()
+            thread.join()
+            self._compactor = None
+
     def reclaimable(self) -> DataFrame:
         return reclaim(self.log(), F.length(F.to_json(F.struct("key", "value"))) + 37)
 
@@ -271,17 +399,19 @@ class Store:
 
     def verify(self) -> None:
         """Check every row and manifest; raise Corrupt at the first version that does not hold."""
+        bad = ~F.xxhash64(*COLUMNS).eqNullSafe(F.col("check"))
         for m in self._live_manifests():
             if not m["rows"]:
                 continue
             where = f"{self.files.root}/data/{m['dir']}"
             try:
                 rows = self.spark.read.schema(self._row).parquet(where)
-                seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor("check"), F.lit(0)).alias("x"), F.count(F.when(F.xxhash64(*COLUMNS) != F.col("check"), 1)).alias("bad")).first()
+                seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor("check"), F.lit(0)).alias("x"), F.count(F.when(bad, 1)).alias("bad"), F.min(F.when(bad, F.col("pos"))).alias("first")).first()
             except PySparkException as e:
                 raise Corrupt(f"version {m['version']} cannot be read") from e
             if (seen["n"], seen["x"], seen["bad"]) != (m["rows"], m["checks"], 0):
-                raise Corrupt(f"version {m['version']}: {seen['n']} of {m['rows']} rows, {seen['bad']} bad")
+                where = "" if seen["first"] is None else f", the first at position {seen['first']}"
+                raise Corrupt(f"version {m['version']}: {seen['n']} of {m['rows']} rows, {seen['bad']} bad{where}")
         log = self.log()
         broken = violations(log).take(1) or broken_links(log).take(1)
         if broken:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratakeep.cli import run
-from stratakeep.errors import Closed, ConditionFailed, Corrupt, DirectoryLocked, InvalidCondition, KeyExists, KeyNotFound, TransactionDone
+from stratakeep.errors import Closed, ConditionFailed, Corrupt, DirectoryLocked, InvalidCondition, KeyExists, KeyNotFound, TransactionDone, VersionNotFound
 from stratakeep.sources.adapters import KeyValue
 from stratakeep.sources.commands import malformed, parse
 from stratakeep.sources.indexed_log import IndexedLog
@@ -229,3 +229,111 @@ def test_command_line(spark, tmp_path):
     assert run(spark, ["--path", str(tmp_path / "cli"), "get", "a"]) == 1
     call("compact")
     assert call("verify") == "ok" and len(call("list", "3").splitlines()) == 3 and "base" in call("stats") and len(call("digest")) == 64
+
+
+def test_batches_stay_known_after_compaction_and_vacuum(spark, text):
+    batch = lambda k: spark.createDataFrame([(k, "v")], "key string, value string")
+    for number in range(3):
+        text.write(batch(f"k{number}"), tag=f"q/{number}")
+    text.write(batch("x"), tag="one of a kind")
+    text.compact()
+    text.vacuum()
+    version = text.version
+    other = Store.open(spark, text.files.root, readonly=True)
+    for s in (text, other):
+        assert s.write(batch("again"), tag="q/2") == s.write(batch("again"), tag="q/0") == s.write(batch("again"), tag="one of a kind") == version
+    assert text.write(batch("k3"), tag="q/3") == version + 1 and text.write(batch("k3"), tag="q/3") == version + 1
+    text.compact()
+    text.vacuum()
+    assert text.write(batch("again"), tag="q/2") == text.version and text.keys().count() == 5
+
+
+def test_unreadable_versions_raise(text):
+    assert text.state(version=0).count() == 0
+    text.put("a", "1")
+    text.put("b", "2")
+    assert text.state(version=0).count() == 0 and text.state(version=1).count() == 1
+    with pytest.raises(VersionNotFound):
+        text.state(version=3)
+    text.compact()
+    text.vacuum()
+    for version in (0, 1, 2):
+        with pytest.raises(VersionNotFound):
+            text.state(version=version)
+    assert text.state(version=3).count() == 2
+
+
+def test_state_of_base_and_tail(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "b"), dedup=True, clock=Clock()) as s:
+        for k in "abcd":
+            s.put(k, f"value {k}")
+        s.compact()
+        s.put("a", "new")
+        s.put("e", "value b")  # a link into the base
+        s.delete("c")
+        s.put("f", "soon gone", ttl_ns=5)
+        want = {"a": "new", "b": "value b", "d": "value d", "e": "value b"}
+        assert {r["key"]: r["value"] for r in s.state().where("key <> 'f'").collect()} == want
+        s.clock.now += 5
+        assert {r["key"]: r["value"] for r in s.state().collect()} == want
+        digest = s.digest()
+        s.compact()
+        assert s.digest() == digest and "Exchange" not in s.state()._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_reads_by_position_and_version(text):
+    text.put("a", "1")
+    text.put("b", "2")
+    assert [(r["key"], r["value"]) for r in text.entry(2 << 32).collect()] == [("b", "2")]
+    assert text.entry((2 << 32) + 1).collect() == []
+    assert [r["key"] for r in text.version_log(1).collect()] == [r["key"] for r in text.segment(1).collect()] == ["a"]
+    text.compact()
+    assert [r["key"] for r in text.version_log(3).collect()] == ["a", "b"] and [r["value"] for r in text.entry(1 << 32).collect()] == ["1"]
+    with pytest.raises(VersionNotFound):
+        text.version_log(9)
+
+
+def test_cache_keeps_values_of_the_newest_version(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "c"), clock=Clock(), cache=2, rows_per_file=10, bloom_keys=100) as s:
+        s.write(spark.range(35).select(F.col("id").cast("string").alias("key"), F.lit("v").alias("value")))
+        assert len([f for f in os.listdir(f"{s.files.local}/data/{s._live_manifests()[0]['dir']}") if f.endswith(".parquet")]) >= 4
+        assert [s.get(k) for k in ("1", "2", "3", "3")] == ["v"] * 4 and list(s._cache) == ["2", "3"]
+        s.put("3", "w", ttl_ns=10)
+        assert s.get("3") == "w" and list(s._cache) == ["3"]
+        s.clock.now += 10
+        with pytest.raises(KeyNotFound):
+            s.get("3")
+
+
+def test_compactor_runs_by_itself(text):
+    import time
+
+    text.start_compactor(0.2, versions=3)
+    for k in "abc":
+        text.put(k, k)
+    until = time.time() + 60
+    while time.time() < until and (len(text._live_manifests()) >= 3 or len(text.files.names("_log")) > 2):
+        time.sleep(0.2)
+    text.stop_compactor()
+    assert text._live_manifests()[0]["kind"] == "base" and text.keys().count() == 3
+    text.verify()
+
+
+def test_damaged_row_is_located(spark, text):
+    text.put("a", "x")
+    text.put("b", "y")
+    where = f"{text.files.root}/data/{text._live_manifests()[1]['dir']}"
+    rows = spark.createDataFrame(spark.read.parquet(where).withColumn("value", F.lit("z")).collect(), text._row)
+    rows.write.mode("overwrite").parquet(where)
+    with pytest.raises(Corrupt, match=f"version 2.*position {2 << 32}"):
+        text.verify()
+
+
+def test_digests_tell_fields_apart(spark):
+    from stratakeep.operators import digest
+
+    rows = [("a|b", "c"), ("a", "b|c"), ("", None), (None, ""), ("1:a", ""), ("1", "a")]
+    leaf = digest.leaves(spark.createDataFrame([(str(i), r) for i, r in enumerate(rows)], "key string, value struct<x:string,y:string>"))
+    assert leaf.select("leaf").distinct().count() == len(rows)
+    assert digest.sized_root(leaf).first() == digest.root(leaf).first()
+    assert digest.sized_root(leaf, few=2, per_bucket=2).first() == digest.tree_root(leaf, 3).first()
