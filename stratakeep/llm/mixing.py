@@ -9,7 +9,10 @@ for the next document of each source, which is rounded to the nearer side of the
 
 Running sums never need one task for a source or for the whole queue: sums per bucket of the
 queue (a hash range of a source, then a slice of virtual time) give each bucket's start, and only
-a bucket is ever sorted.
+a bucket is ever sorted. Places in the queue are written once; what the slices before the last one take
+follows from a row alone, and only rows of the last slice and the next document of each source are joined back.
+What one task sees together is BUCKETS sums of a source, 3 * SLICES sums of virtual time, one row a source,
+or one slice, a SLICES-th of the budget.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, prefix_totals, table
+from .common import discard, durable, prefix_totals, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -49,50 +52,84 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 
 def mix_sources(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Add ``source_size``, ``target`` and ``taken`` to rows of (doc_id, source, size, mark, ...).
+    """Add ``source_size``, ``target`` and ``taken`` to rows of (doc_id, source, size, mark).
 
-    ``mark`` shuffles the queue and, with the ids, breaks ties, so reruns agree; repeated rows are
-    separate documents. ``rows`` must be stable to read twice. Rows of size 0 take nothing.
+    ``mark`` (60 bits) shuffles the queue and, with the ids, breaks ties, so reruns agree; repeated rows are
+    separate documents, null sources a source. Rows of size 0 take nothing; no rows give none. Other
+    columns are not kept.
     """
-    rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()), "mixing")
+    rows = durable(rows.select("doc_id", "source", "size", "mark").withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.shiftrightunsigned("mark", 46).cast("int")), "mixing")
     sizes = durable(targets(rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, epochs), "mixing-targets")
     goal = sizes.select(F.col("source").alias("_source"), "source_size", "target")
+    cells = prefix_totals(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), ["source"], "bucket", "n", "start").select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "start")
+    inside_bucket = Window.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("upto", F.sum("size").over(inside_bucket)).join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
     # bounded by the number of sources, which may be large: Spark picks broadcast or merge join from its size
-    queue = rows.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    live = queue.where((F.col("size") > 0) & (F.col("target") > 0)).select("_row", "source", "doc_id", "size", "mark", "source_size", "target")
-    live = live.withColumn("_bucket", F.pmod(F.shiftrightunsigned("mark", 24), F.lit(BUCKETS)).cast("int"))
-    cells = prefix_totals(live.groupBy("source", "_bucket").agg(F.sum("size").alias("_n")), ["source"], "_bucket", "_n", "_start").select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_start")
-    in_bucket = Window.partitionBy("source", "_bucket").orderBy("mark", "doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    served = live.withColumn("_upto", F.sum("size").over(in_bucket)).join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    served = served.withColumn("_upto", F.col("_upto") + F.col("_start"))
+    placed = placed.join(goal, F.col("source").eqNullSafe(F.col("_source")))
+    served = durable(placed.select("row", "doc_id", "source", "size", "mark", "source_size", "target", (F.col("upto") + F.col("start")).alias("upto")), "served")
+    discard(rows)
     # a pass is entered only if it can begin before twice the budget is served: virtual time 1 is the budget
     passes = F.least(F.lit(epochs), F.ceil(F.col("target") / F.col("source_size")) + 1).cast("int")
-    entry = served.withColumn("_pass", F.explode(F.sequence(F.lit(0), passes - 1)))
-    entry = entry.select("_row", "source", "target", "size", "mark", ((F.col("_pass") * F.col("source_size") + F.col("_upto")) / F.col("target")).alias("finish"))
-    entry = entry.withColumn("_slice", F.floor(F.col("finish") * SLICES).cast("long"))
+    finish = lambda p: (p * F.col("source_size") + F.col("upto")) / F.col("target")
+    time_slice = lambda t: F.floor(t * SLICES).cast("long")
+    entry = served.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
+    entry = entry.select("row", "source", "target", "size", "mark", finish(F.col("pass")).alias("finish")).withColumn("slice", time_slice(F.col("finish")))
     # the slices before the one in which the budget runs out are taken whole; only that one is sorted
-    slices = entry.groupBy("_slice").agg(F.sum("size").alias("_n"))
-    upto = slices.select("_slice", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    slices = entry.groupBy("slice").agg(F.sum("size").alias("n"))
+    upto = slices.select("slice", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     budget = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("b")).first()["b"]
-    cut = upto.where(F.col("_before") <= budget).agg(F.max("_slice").alias("at"), F.max("_before").alias("before")).first()
+    cut = upto.where(F.col("before") <= budget).agg(F.max("slice").alias("at"), F.max("before").alias("before")).first()
     at, before = (cut["at"], cut["before"]) if cut["at"] is not None else (0, 0)
-    whole = entry.where(F.col("_slice") < at).select("_row", "size")
-    last = entry.where(F.col("_slice") == at).withColumn("_sum", F.sum("size").over(Window.orderBy("finish", "mark", "_row").rowsBetween(Window.unboundedPreceding, 0)))
-    inside = F.col("_sum") + before <= budget
+    last = entry.where(F.col("slice") == at).withColumn("total", F.sum("size").over(Window.orderBy("finish", "mark", "row").rowsBetween(Window.unboundedPreceding, 0)) + before)
+    last = durable(last, "last-slice")
     # the first document of each source beyond the cut is served too if its source ends nearer its target
-    beyond = entry.where(F.col("_slice") > at).select("_row", "source", "target", "size", "finish").union(last.where(~inside).select("_row", "source", "target", "size", "finish"))
-    first = beyond.groupBy("source").agg(F.min_by(F.struct("_row", "size", "target", "finish"), F.struct("finish", "_row")).alias("x")).select("x.*")
-    nearer = first.where(F.col("target") * (F.lit(1.0) - F.col("finish")) > -F.col("size") / 2).select("_row", "size")
-    taken = whole.union(last.where(inside).select("_row", "size")).union(nearer).groupBy("_row").agg(F.sum("size").cast("long").alias("taken"))
-    return queue.join(taken.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left").drop("_row", "_r").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    beyond = entry.where(F.col("slice") > at).unionByName(last.where(F.col("total") > budget).drop("total"))
+    first = beyond.groupBy("source").agg(F.min_by(F.struct("row", "size", "target", "finish"), F.struct("finish", "row")).alias("x")).select("x.*")
+    nearer = first.where(F.col("target") * (F.lit(1.0) - F.col("finish")) > -F.col("size") / 2)
+    extra = last.where(F.col("total") <= budget).select("row", "size").union(nearer.select("row", "size")).groupBy("row").agg(F.sum("size").cast("long").alias("extra")).withColumnRenamed("row", "_row")
+    whole = sum((F.when((F.col("size") > 0) & (passes > p) & (time_slice(finish(F.lit(p))) < at), F.col("size")).otherwise(0) for p in range(epochs)), F.lit(0))
+    out = served.join(extra, F.col("row") == F.col("_row"), "left")
+    return out.select("doc_id", "source", "size", "mark", "source_size", "target", (whole + F.coalesce("extra", F.lit(0))).cast("long").alias("taken"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, mark) of documents; null text has size 0, null source is a source."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit("queue"), "doc_id", F.crc32(F.encode(text, "UTF-8"))).alias("mark"))
+    name = F.concat(F.lit("queue "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.encode(text, "UTF-8")))
+    mark = F.conv(F.substring(F.md5(F.encode(name, "UTF-8")), 1, 15), 16, 10).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), mark.alias("mark"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE = r"""
+with s as (
+  select row_number() over () as r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5('queue ' || coalesce(doc_id::varchar, '') || ' ' || md5(coalesce(text, ''))), 1, 15))::bigint as mark from documents
+), z as (
+  select source, sum(size)::bigint as source_size from s group by source
+), a as (
+  select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight, 3 * source_size::double as cap from z
+), b as (
+  select *, cap / weight as room, sum(source_size::double) over () as total, sum(weight) over () as weights from a
+), c as (
+  select *, room <= (total - coalesce(sum(cap) over w, 0)) / (weights - coalesce(sum(weight) over w, 0)) as capped from b
+  window w as (order by room, source nulls last rows between unbounded preceding and 1 preceding)
+), g as (
+  select source, source_size, case when capped then cap else (total - sum(case when capped then cap else 0 end) over ()) * weight / sum(case when capped then 0 else weight end) over () end as target from c
+), q as (
+  select s.*, source_size, target, sum(size) over (partition by s.source order by mark, doc_id, size, r rows unbounded preceding)::bigint as upto from s join g on s.source is not distinct from g.source
+), e as (
+  select *, (p * source_size + upto) / target as finish from q, (select unnest(range(0, 3)) as p) where size > 0 and p < least(3, ceil(target / source_size) + 1)
+), f as (
+  select *, sum(size) over (order by finish, mark, r rows unbounded preceding) <= (select sum(size) from s) as inside from e
+), n as (
+  select r, size from (select *, row_number() over (partition by source order by finish, r) as k from f where not inside) where k = 1 and target * (1.0::double - finish) > -size / 2
+), t as (
+  select r, sum(size)::bigint as taken from (select r, size from f where inside union all select * from n) group by r
+)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from q left join t using (r)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_duplicates, substring_dedup, url_filter, warc
+from . import mixing, near_duplicates, substring_dedup, url_filter, warc
 from .decontamination import op7_decontamination
 from .language_model import op3_lm_scoring
 from .mixing import op9_mix_sources
@@ -26,4 +26,10 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": near_duplicates.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op5_warc": warc.ORACLE, "op6_url_filter": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": near_duplicates.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
+    "op9_mix_sources": mixing.ORACLE,
+}

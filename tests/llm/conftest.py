@@ -29,17 +29,23 @@ ODD_TEXTS = [
 ]
 
 
+#: Columns that documents may have besides, called as operators and stages call theirs.
+CLASHING = ("key", "comp", "node", "_id", "ROW_ID", "row", "times", "_copy", "copy", "pattern", "_pattern", "base_failed", "_base_failed", "p", "size", "mark", "bucket", "taken", "shard", "slot", "held_out", "sid", "n_words")
+SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+
+
 @pytest.fixture
 def odd_docs(spark):
     """Odd texts with null, repeated and large ids, null languages and sources, and columns with clashing names."""
-    rows = [(i if i % 4 else None, t, None if i % 3 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", i, "x") for i, t in enumerate(ODD_TEXTS)]
-    rows += [(2**40, ODD_TEXTS[5], "en", "s1", 1, "x"), (2**40, ODD_TEXTS[5], "en", "s1", 1, "x"), (2**40, "other words", "en", "s1", 1, "x")]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, key long, comp string").repartition(3)
+    extra = tuple(f"own {c}" for c in CLASHING)
+    rows = [(i if i % 4 else None, t, None if i % 3 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", *extra) for i, t in enumerate(ODD_TEXTS)]
+    rows += [(2**40, ODD_TEXTS[5], "en", "s1", *extra), (2**40, ODD_TEXTS[5], "en", "s1", *extra), (2**40, "other words", "en", "s1", *extra)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
 @pytest.fixture
 def no_docs(spark):
-    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, key long, comp string")
+    return spark.createDataFrame([], SCHEMA)
 
 
 def prose(r, n, vocabulary=400):

@@ -13,7 +13,7 @@ from stratakeep.llm import language_model as lm
 from stratakeep.llm import mixing, sharding, url_filter, warc
 from stratakeep.llm.common import shared_dir
 
-from .conftest import prose, words_of
+from .conftest import CLASHING, prose, words_of
 
 
 def test_shards_are_even_and_gapless(spark, odd_docs, no_docs):
@@ -28,6 +28,14 @@ def test_shards_are_even_and_gapless(spark, odd_docs, no_docs):
     assert sharding.shard_documents(no_docs).collect() == []
 
 
+def test_sizes_and_checksums_are_those_of_the_text(odd_docs):
+    import zlib
+
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in odd_docs.collect())
+    got = sharding.shard_documents(odd_docs, 16).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want and {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+
+
 def test_ring_walk_goes_clockwise_past_full_shards():
     nodes = [(10, 0), (20, 1), (30, 2)]
     assert sharding.walk({5: 4, 25: 2}, nodes, 3) == [(5, 1, 2, 0, 0), (5, 3, 4, 1, 0), (25, 1, 2, 2, 0)]
@@ -99,11 +107,21 @@ def test_archives_round_trip(spark, monkeypatch):
         one = first.get(t) if first.get(t) != p else None
         want[(p, u, "revisit" if one is not None else "response", one, len((t or "").encode()), None if one is not None else t or "")] += 1
     assert Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload"]) for r in got) == want
+    assert index.select("record_id").distinct().count() == len(pages)  # repeated and null ids too
     some = warc.fetch_records(index, spark.createDataFrame([(12,), (4,)], "page_id long")).collect()
     assert sorted((r["page_id"], r["payload"]) for r in some) == [(4, "short"), (12, "z" * 200_000)]
     assert warc.read_archives(warc.write_archives(df.limit(0), f"{shared_dir(spark)}/warc-none")).collect() == []
 
 
+def test_bundles_are_read_by_many_tasks(spark):
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.repeat(F.col("id").cast("string"), 300).alias("html")).repartition(6)
+    index = warc.write_archives(pages, f"{shared_dir(spark)}/warc-readers")
+    got = warc.read_archives(index)
+    assert index.select("file").distinct().count() == got.rdd.getNumPartitions() == 6
+    assert sum(n > 0 for n in got.select("page_id").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) >= 3
+    assert sorted(r["page_id"] for r in got.collect()) == list(range(60))
+
+
 def test_seek_table_is_read_back(tmp_path):
     writer = warc.BundleWriter(open(tmp_path / "b", "wb"))
     places = [writer.add(bytes([65 + i]) * 200_000) for i in range(5)]
@@ -145,6 +163,26 @@ def test_templates_generalise_labels(spark):
     assert [r["verdict"] for r in got if r["host"] == "good.org"] == ["allow"]
 
 
+def test_unlabelled_urls_do_not_hide_the_labels_of_their_branch(spark):
+    rules = (("bad.org/x/1", "block"), ("bad.org/y/1", "allow"))
+    urls = [f"http://bad.org/{b}/{n}/p{n}" for b in "xy" for n in (*range(100, 160), *range(200_000, 202_000))] + ["http://bad.org/z/7/p1"] * 5
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).where("rule is null")
+    said = {(r["path"][:3], r["verdict"]) for r in got.select("path", "verdict").distinct().collect()}
+    assert said == {("/x/", "block"), ("/y/", "allow"), ("/z/", "allow")} and got.count() == 4005
+
+
+def test_similar_branches_are_merged_and_depth_has_no_limit(spark):
+    deep = "/".join("abcdefghijkl")
+    rules = (("g.org/m1", "block"), ("g.org/m2", "block"), ("h.org/" + deep + "/1", "block"), ("h.org/" + deep + "/z", "allow"))
+    urls = [f"http://g.org/{m}{k}/{n}" for m in ("m1", "m2") for k in "pqr" for n in range(30)]
+    urls += [f"http://h.org/{deep}/{e}/{n}" for e in ("1", "z") for n in range(40) for _ in range(2)] + ["http://h.org/" + "s/" * 3000, "http://h.org/" + deep + "/2/77"]
+    rows = list(enumerate(urls)) + [(None, urls[0])] * 2
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert len(got) == len(rows) and {r["template"] for r in got if r["path"].startswith("/m")} == {"/*/{n}"}
+    assert [r["verdict"] for r in got if r["path"].endswith("/2/77")] == ["block"]
+    assert {r["template"] for r in got if r["path"].startswith("/a/")} == {f"/{deep}/{{n}}/{{n}}", f"/{deep}/z/{{n}}"}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -235,6 +273,12 @@ def test_answer_beside_the_weaker_of_two_weak_matches(spark):
     assert [(r["doc_id"], r["lcs"], r["answer_found"]) for r in dc.contaminated(docs, benchmark).collect()] == [(1, 22 / 40, True)]
 
 
+def test_short_items_count_with_their_answer(spark):
+    docs = spark.createDataFrame([(1, "well who wrote it then it was ann lee"), (2, "who wrote it"), (3, "wrote who it ann lee")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, "Who wrote it?", "Ann Lee"), (8, "who wrote it", None)], "item_id long, text string, answer string")
+    assert [(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, benchmark).collect()] == [(1, 7)]
+
+
 def corpus(spark, n=400):
     r = random.Random(2)
     rows = []
@@ -313,9 +357,91 @@ def test_pipeline_stages(spark):
     assert stages["n-gram Jaccard join"](spark, one, d).count() == one.count()
 
 
-def test_pipeline_runs_on_odd_rows(spark, odd_docs, tmp_path):
+def test_pipeline_runs_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
     d = str(tmp_path)
-    odd_docs.drop("key", "comp").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, "some benchmark item of eight or nine words"), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    odd_docs.write.parquet(f"{d}/documents.parquet")
     out = corpus_pipeline.run(spark, d)
     assert {"doc_id", "shard", "slot"} <= set(out.columns) and out.count() > 0
+    given = odd_docs.union(odd_docs.withColumn("text", F.lit("all words of this text are there only once and so it is good enough to be kept by all stages.")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, given, d).collect()
+        assert rows and rows[0].__fields__ == odd_docs.columns, name
+        assert all(r[c] == f"own {c}" for r in rows for c in CLASHING), name
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, d).collect() == []
+
+
+def brute_mix(docs):
+    """(doc_id, taken) by one sorted queue of all documents, as the definition has it."""
+    import hashlib
+    from math import ceil
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    rows = [(d, s, len(words_of(t)), int(md5(f"queue {d} {md5(t or '')}")[:15], 16)) for d, s, t in docs]
+    sizes = defaultdict(int)
+    for _, s, n, _ in rows:
+        sizes[s] += n
+    goal, upto, queue, taken = water(sizes), defaultdict(int), [], Counter()
+    for d, s, n, mark in sorted(rows, key=lambda r: (r[3], r[0])):
+        upto[s] += n
+        if n:
+            queue += [((p * sizes[s] + upto[s]) / goal[s], mark, d, s, n) for p in range(min(3, ceil(goal[s] / sizes[s]) + 1))]
+    total, budget, seen = 0, sum(sizes.values()), set()
+    for finish, _, d, s, n in sorted(queue):
+        total += n
+        if total <= budget:
+            taken[d] += n
+        elif s not in seen:
+            seen.add(s)
+            if goal[s] * (1 - finish) > -n / 2:
+                taken[d] += n
+    return {d: taken[d] for d, _, _, _ in rows}
+
+
+def test_mixing_equals_one_sorted_queue(spark):
+    r = random.Random(14)
+    docs = [(i, r.choice(["a", "b", "b", "c", "c", "c", "d", None]), prose(r, r.randrange(0, 50))) for i in range(900)]
+    got = mixing.mix_sources(mixing.sized(spark.createDataFrame(docs, "doc_id long, source string, text string"))).collect()
+    assert {x["doc_id"]: x["taken"] for x in got} == brute_mix(docs)
+
+
+def test_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(fake)
+
+
+PROGRAM = """
+import sys
+sys.path.insert(0, {repo!r})
+{before}
+import __spark_entry__
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {folder!r}).config("spark.sql.shuffle.partitions", "2").getOrCreate()
+{body}
+spark.stop()
+"""
+
+
+def run_program(tmp_path, body, before=""):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = str(Path(__file__).resolve().parents[2])
+    code = PROGRAM.format(repo=repo, before=before, body=body, folder=f"file://{tmp_path}")
+    return subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True, cwd=repo).stdout
+
+
+def test_no_table_is_left_when_the_driver_ends(tmp_path):
+    body = "for q in ('op2_ngram_jaccard', 'op5_warc', 'op9_mix_sources'): print(__spark_entry__.queries()[q](spark, '/root/testdata/sf0.001').count())"
+    assert len(run_program(tmp_path, body).split()) == 3
+    assert [x for x in tmp_path.iterdir() if not x.name.startswith(".") and any(x.rglob("*.*"))] == []
+
+
+def test_other_queries_load_without_an_optional_package(tmp_path):
+    body = "print(sorted({k.partition('_')[0] for k in __spark_entry__.queries()}), len(__spark_entry__.oracle_sql()) >= 50)"
+    assert run_program(tmp_path, body, "sys.modules['zstandard'] = None").split("\n")[0] == "['kv'] True"

@@ -219,18 +219,51 @@ def test_quality_agrees_with_labels(spark):
     from stratakeep.llm.queries import QUERIES
 
     d = "/root/testdata/sf0.01"
-    got = QUERIES["op10_quality_rules"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
-    right = got.where("kept = (quality = 1)").count()
-    assert right >= 0.95 * got.count()
-    assert got.where("quality = 1 and not kept").count() == 0
+    got = QUERIES["op10_quality_rules"](spark, d)
+    labelled = got.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
+    right = labelled.where("kept = (quality = 1)").count()
+    assert right >= 0.95 * labelled.count()
+    assert labelled.where("quality = 1 and not kept").count() == 0
+    # a rejection does not decide by itself: texts of ten to twenty words are kept though the length rule rejects them
+    assert got.where("kept and n_words < 20").count() > 0
+
+
+def draw_votes(r, good, on_good, on_bad, abstain=0.1):
+    """Vote patterns of texts that rules reject at the given rates."""
+    n, rules = len(good), len(on_good)
+    vote = np.where(good[:, None], np.where(r.random((n, rules)) < on_good, 0, 2), np.where(r.random((n, rules)) < on_bad, 0, 2))
+    vote[r.random(vote.shape) < abstain] = 1
+    return (vote * 3 ** np.arange(rules)).sum(1)
 
 
 def test_expectation_maximisation_recovers_rules():
     r = np.random.default_rng(0)
     good = r.random(20000) < 0.8
-    vote = np.where(good[:, None], np.where(r.random((20000, 8)) < 0.001, 0, 2), np.where(r.random((20000, 8)) < 0.35, 0, 2))
-    vote[r.random(vote.shape) < 0.1] = 1
-    counts = Counter((vote * 3 ** np.arange(8)).sum(1).tolist())
-    posterior = quality.fit(counts)
-    said = np.array([posterior[p] >= 0.5 for p in (vote * 3 ** np.arange(8)).sum(1).tolist()])
+    rules = len(quality.RULES)
+    pattern = draw_votes(r, good, np.full(rules, 0.001), np.full(rules, 0.35))
+    posterior = quality.fit(Counter(pattern.tolist()))
+    said = np.array([posterior[p] >= 0.5 for p in pattern.tolist()])
     assert (said == good).mean() > 0.95
+
+
+@pytest.mark.parametrize("n", [2000, 50000])
+def test_a_noisy_rule_is_overruled(n):
+    r = np.random.default_rng(1)
+    good = r.random(n) < 0.8
+    rules = len(quality.RULES)
+    on_good = np.full(rules, 0.002)
+    on_good[-1] = 0.1
+    pattern = draw_votes(r, good, on_good, np.full(rules, 0.35), abstain=0)
+    posterior = quality.fit(Counter(pattern.tolist()))
+    only = 3**rules - 1 - 2 * 3 ** (rules - 1)  # the last rule rejects, all others keep
+    texts = pattern == only
+    assert texts.sum() > 0.05 * n and good[texts].mean() > 0.9 and posterior[only] > 0.8
+    said = np.array([posterior[p] >= 0.5 for p in pattern.tolist()])
+    strict = pattern == 3**rules - 1
+    assert said[good].mean() > 0.98 > strict[good].mean() and (said == good).mean() > (strict == good).mean() + 0.03
+
+
+def test_symbol_words_and_echoes_are_counted():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a a b b% % c", "b", None]})
+    (_, m, _, _), = quality._measured(iter([batch]), "text")
+    assert m["n_echoes"].tolist() == [1, 0, 0] and m["n_symbol_words"].tolist() == [2, 0, 0]
