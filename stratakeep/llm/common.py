@@ -107,3 +107,15 @@ def prefix_totals(cells: DataFrame, by: list[str], order: str, value: str, out:
 
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return cells.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0).cast("long")))
+
+
+def block_sums(parts: DataFrame, add, blocks: int, tasks: int = 64) -> DataFrame:
+    """Sums by ``block`` of what each task has added up, in two levels.
+
+    Parts of about so many tasks are summed first, wherever Spark deals them, and their sums by block after that, so
+    the tasks of the last level read one part from each group and not one from every task. ``add`` takes and gives
+    Arrow batches of the same columns and merges the rows of a block.
+    """
+    group = F.floor(F.spark_partition_id() / tasks)
+    once = parts.withColumn("group", group).repartition("block", "group").drop("group").mapInArrow(add, parts.schema)
+    return once.repartition(blocks, "block").mapInArrow(add, parts.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import durable, ship, shipped, table
+from .common import block_sums, durable, ship, shipped, table
 
 HEAD = 1 << 18
 HINTS = 8
@@ -414,7 +414,7 @@ def score_texts(docs: DataFrame, hint: str | None = "lang", head: int = HEAD, ro
     for r in range(rounds if whole.n else 0):
         model = ship(spark, (vocabulary, weights))
         parts = train.where(F.col("round") == r).select("text").mapInArrow(_train(model), _PART)
-        added = parts.repartition(ROWS // BLOCK, "block").mapInArrow(_add_blocks, _PART).toArrow()
+        added = block_sums(parts, _add_blocks, ROWS // BLOCK).toArrow()
         for k, s, w in zip(*(added.column(i).to_pylist() for i in range(3))):
             s, w = np.frombuffer(s, np.float32), np.frombuffer(w, np.float32).reshape(-1, vocabulary.classes)
             rows = np.flatnonzero(s) + k * BLOCK

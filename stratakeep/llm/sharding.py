@@ -8,9 +8,9 @@ moves away from its home shard.
 
 Only counts per cell matter for that walk, and the number of cells is fixed. One distributed count
 gives them; the walk itself runs over this fixed-size table while the plan is built and yields
-segments (cell, first rank, last rank, shard, first slot). Rows are ranked inside their cell, a
-group with a tiny share of the rows, and meet their segment in a broadcast join whose size is
-bounded by the ring and not by the data.
+segments (cell, first rank, last rank, shard, first slot). Rows are ranked inside their cell and meet
+their segment in a broadcast join whose size is bounded by the ring and not by the data. A cell of more than
+CELL_ROWS rows, as equal rows make one, is ranked in parts: counts of its parts give each part's first rank.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from __future__ import annotations
 import json
 from bisect import bisect_left
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, prefix_totals, table
 
 RING_CELLS = 1 << 16
 VIRTUAL_NODES = 256
+#: Rows that are ranked in one group at most, or about that many.
+CELL_ROWS = 1 << 20
 _SEGMENT = "array<struct<seg_cell:int,lo:bigint,hi:bigint,shard:int,slot0:bigint>>"
 
 
@@ -61,20 +63,36 @@ def walk(counts: dict[int, int], nodes: list[tuple[int, int]], shards: int) -> l
     return out
 
 
-def shard_rows(rows: DataFrame, key: list[str | Column], shards: int = 16, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
+def _literal(spark: SparkSession, names: tuple[str, ...], rows: list[tuple], kind: str) -> DataFrame:
+    """A small table that is part of the plan."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), kind)).alias("_s")).select("_s.*")
+
+
+def shard_rows(rows: DataFrame, key: list[str], shards: int = 16, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """Add ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard) to every row.
 
     ``key`` columns decide the place on the ring; null keys are keys like any other. Rows with
-    equal keys share a cell and are told apart by rank, so repeats are placed too. ``rows`` must
-    be cheap to read twice (see :func:`~stratakeep.llm.common.durable`). Empty input gives no rows.
+    equal keys share a cell and are told apart by rank, so repeats are placed too, however many. Empty input gives
+    no rows.
     """
     spark = rows.sparkSession
-    placed = rows.withColumn("_hash", F.xxhash64(*key)).withColumn("_cell", F.pmod("_hash", F.lit(RING_CELLS)).cast("int"))
+    cell = F.pmod(F.xxhash64(*key), F.lit(RING_CELLS)).cast("int")
+    placed = durable(rows.withColumn("_cell", cell).withColumn("_row", F.monotonically_increasing_id()), "sharding")
     counts = {r["_cell"]: r["n"] for r in placed.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
     segments = walk(counts, ring(spark, shards, virtual_nodes), shards)
-    segment = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([dict(zip(("seg_cell", "lo", "hi", "shard", "slot0"), s)) for s in segments])), _SEGMENT)).alias("_s")).select("_s.*")
-    segment = segment.select("seg_cell", "lo", "hi", F.col("shard").alias("_shard"), "slot0")
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_hash", *key)).cast("long"))
+    segment = _literal(spark, ("seg_cell", "lo", "hi", "shard", "slot0"), segments, _SEGMENT).select("seg_cell", "lo", "hi", F.col("shard").alias("_shard"), "slot0")
+    full = [(c, -(-n // CELL_ROWS)) for c, n in sorted(counts.items()) if n > CELL_ROWS]
+    if full:  # at most one row a cell of the ring
+        split = _literal(spark, ("_of", "_parts"), full, "array<struct<_of:int,_parts:bigint>>")
+        placed = placed.join(F.broadcast(split), F.col("_cell") == F.col("_of"), "left")
+        placed = placed.withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_row"), "_parts"), F.lit(0).cast("long"))).drop("_of", "_parts")
+        sizes = placed.where(F.col("_cell").isin([c for c, _ in full])).groupBy("_cell", "_part").agg(F.count("*").alias("_n"))
+        before = prefix_totals(sizes, ["_cell"], "_part", "_n", "_before").select(F.col("_cell").alias("_c"), F.col("_part").alias("_p"), "_before")
+        placed = placed.join(before, (F.col("_cell") == F.col("_c")) & (F.col("_part") == F.col("_p")), "left").withColumn("_before", F.coalesce("_before", F.lit(0).cast("long"))).drop("_c", "_p")
+    else:
+        placed = placed.withColumn("_part", F.lit(0)).withColumn("_before", F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_cell", "_part").orderBy(*key))
+    ranked = placed.withColumn("_rank", (F.col("_before") + place).cast("long"))
     joined = ranked.join(F.broadcast(segment), (F.col("_cell") == F.col("seg_cell")) & F.col("_rank").between(F.col("lo"), F.col("hi")))
     return joined.select(*rows.columns, F.col("_shard").alias("shard"), (F.col("slot0") + F.col("_rank") - F.col("lo")).alias("slot"))
 
@@ -87,7 +105,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     checksum go to a narrow durable table from which ring counts and ranks are taken.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("string")
-    thin = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32")), "sharding")
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"))
     out = shard_rows(thin, ["doc_id", "text_crc32", "size"], shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

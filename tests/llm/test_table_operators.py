@@ -28,6 +28,15 @@ def test_shards_are_even_and_gapless(spark, odd_docs, no_docs):
     assert sharding.shard_documents(no_docs).collect() == []
 
 
+def test_a_full_cell_is_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 40)
+    docs = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text")).union(spark.range(500).select("id", F.lit("other")))
+    slots = defaultdict(list)
+    for r in sharding.shard_documents(docs, 16).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert {len(x) for x in slots.values()} == {50} and all(sorted(x) == list(range(50)) for x in slots.values())
+
+
 def test_sizes_and_checksums_are_those_of_the_text(odd_docs):
     import zlib
 
