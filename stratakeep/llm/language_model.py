@@ -45,6 +45,7 @@ PART_TOKENS = 1 << 20  # training tokens a part of the pairs
 MOST_PARTS = 1 << 15
 KEY_BYTES = 5
 STEPS = 2000  # of a unit of log10 that a prior probability travels in
+_RANGE = np.uint64(44)
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _START = np.uint64(0x57A2757A2757A27)
 _TAIL = np.uint64(0x7A117A117A117A1)
@@ -108,8 +109,23 @@ class Vocabulary:
         """Index of each hash, -1 where it is not among the frequent ones."""
         if not len(self.h):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, -1)
+        if not hasattr(self, "begin"):  # where each range of hashes begins; most hold one at most
+            self.begin = np.append(0, np.cumsum(np.bincount((self.h >> _RANGE).astype(np.int64), minlength=1 << 20))).astype(np.int32)
+        of = (h >> _RANGE).astype(np.int64)
+        at = self.begin[of]
+        found = self.h[np.minimum(at, len(self.h) - 1)] == h
+        out = np.where(found, at, -1)
+        rest = np.flatnonzero(~found)
+        end = self.begin[of[rest] + 1]
+        at = at[rest] + 1
+        while True:
+            more = at < end
+            rest, at, end = rest[more], at[more], end[more]
+            if not len(rest):
+                return out
+            same = self.h[at] == h[rest]
+            out[rest[same]] = at[same]
+            rest, at, end = rest[~same], at[~same] + 1, end[~same]
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
