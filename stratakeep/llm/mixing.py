@@ -17,10 +17,10 @@ or one slice, a SLICES-th of the budget.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, durable, prefix_totals, table
+from .common import discard, durable, prefix_totals, table, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -84,7 +84,7 @@ def mix_sources(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     last = durable(last, "last-slice")
     # the first document of each source beyond the cut is served too if its source ends nearer its target
     beyond = entry.where(F.col("slice") > at).unionByName(last.where(F.col("total") > budget).drop("total"))
-    first = beyond.groupBy("source").agg(F.min_by(F.struct("row", "size", "target", "finish"), F.struct("finish", "row")).alias("x")).select("x.*")
+    first = beyond.groupBy("source").agg(F.min_by(F.struct("row", "size", "target", "finish"), F.struct("finish", "mark", "row")).alias("x")).select("x.*")
     nearer = first.where(F.col("target") * (F.lit(1.0) - F.col("finish")) > -F.col("size") / 2)
     extra = last.where(F.col("total") <= budget).select("row", "size").union(nearer.select("row", "size")).groupBy("row").agg(F.sum("size").cast("long").alias("extra")).withColumnRenamed("row", "_row")
     whole = sum((F.when((F.col("size") > 0) & (passes > p) & (time_slice(finish(F.lit(p))) < at), F.col("size")).otherwise(0) for p in range(epochs)), F.lit(0))
@@ -92,12 +92,41 @@ def mix_sources(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     return out.select("doc_id", "source", "size", "mark", "source_size", "target", (whole + F.coalesce("extra", F.lit(0))).cast("long").alias("taken"))
 
 
+def queue_mark(doc_id: Column, text: Column) -> Column:
+    """60 bits that shuffle a source's queue."""
+    name = F.concat(F.lit("queue "), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.md5(F.encode(text, "UTF-8")))
+    return F.conv(F.substring(F.md5(F.encode(name, "UTF-8")), 1, 15), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, mark) of documents; null text has size 0, null source is a source."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("string")
-    name = F.concat(F.lit("queue "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.encode(text, "UTF-8")))
-    mark = F.conv(F.substring(F.md5(F.encode(name, "UTF-8")), 1, 15), 16, 10).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), mark.alias("mark"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), queue_mark(F.col("doc_id").cast("long"), text).alias("mark"))
+
+
+def cuts(mixed: DataFrame) -> DataFrame:
+    """(source, least, last) of a mix: where each source's queue is cut, one row a source.
+
+    All rows of a source with words are taken ``last.times`` times up to the place (mark, doc_id) of ``last`` in its
+    queue, and ``least`` times behind it, as a source goes through its queue in order.
+    """
+    times = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rows = mixed.where("size > 0").withColumn("times", times)
+    return rows.groupBy("source").agg(F.min("times").alias("least"), F.max(F.struct("times", "mark", "doc_id")).alias("last"))
+
+
+def times_taken(rows: DataFrame, number: str, mixed: DataFrame, name: str) -> DataFrame:
+    """``rows`` (source, text, and ``number``, unique) that a mix of them takes, with the times as column ``name``.
+
+    A row's times follow from its own place and its source's cut, so no text is shuffled; the cuts are one row a
+    source. Null texts and those without words are not taken.
+    """
+    mark, key, least, last = unused(rows, "mark", "of", "least", "last")
+    cut = durable(cuts(mixed), "cuts").select(F.col("source").alias(key), F.col("least").alias(least), F.col("last").alias(last))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("string")
+    placed = rows.where(F.regexp_like(text, F.lit(WORD))).withColumn(mark, queue_mark(F.col(number), text)).join(cut, F.col("source").cast("string").eqNullSafe(F.col(key)))
+    before = (F.col(mark) < F.col(f"{last}.mark")) | ((F.col(mark) == F.col(f"{last}.mark")) & (F.col(number) <= F.col(f"{last}.doc_id")))
+    return placed.withColumn(name, F.when(before, F.col(f"{last}.times")).otherwise(F.col(least))).where(F.col(name) > 0).select(*rows.columns, name)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +156,7 @@ with s as (
 ), f as (
   select *, sum(size) over (order by finish, mark, r rows unbounded preceding) <= (select sum(size) from s) as inside from e
 ), n as (
-  select r, size from (select *, row_number() over (partition by source order by finish, r) as k from f where not inside) where k = 1 and target * (1.0::double - finish) > -size / 2
+  select r, size from (select *, row_number() over (partition by source order by finish, mark, r) as k from f where not inside) where k = 1 and target * (1.0::double - finish) > -size / 2
 ), t as (
   select r, sum(size)::bigint as taken from (select r, size from f where inside union all select * from n) group by r
 )

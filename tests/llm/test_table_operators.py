@@ -415,6 +415,16 @@ def test_mixing_equals_one_sorted_queue(spark):
     assert {x["doc_id"]: x["taken"] for x in got} == brute_mix(docs)
 
 
+def test_times_follow_from_the_cut_of_the_source(spark):
+    r = random.Random(15)
+    docs = [(i, r.choice(["a", "b", "b", "c", "c", "c", "c", "d", None]), r.choice([None, "", prose(r, r.randrange(1, 40))]), "own") for i in range(900)]
+    df = spark.createDataFrame(docs, "n long, source string, text string, mark string")
+    mixed = mixing.mix_sources(mixing.sized(df.withColumnRenamed("n", "doc_id")))
+    got = mixing.times_taken(df, "n", mixed, "times").collect()
+    want = {x["doc_id"]: x["taken"] // x["size"] for x in mixed.where("taken > 0").collect()}
+    assert {x["n"]: x["times"] for x in got} == want and len(got) == len(want) and {x["mark"] for x in got} == {"own"}
+
+
 def test_tables_need_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
