@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratakeep.llm.common import durable, table, unused
 from stratakeep.llm.decontamination import contaminated
-from stratakeep.llm.mixing import mix_sources, sized
+from stratakeep.llm.mixing import mix_sources, sized, times_taken
 from stratakeep.llm.near_duplicates import near_duplicates
 from stratakeep.llm.quality import keep_good
 from stratakeep.llm.sharding import shard_documents
@@ -73,8 +73,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rows, name = identified(docs)
     times, copy = unused(rows, "times", "copy")
     mixed = mix_sources(sized(rows.select(F.col(name).alias("doc_id"), "source", "text")))
-    taken = mixed.where("taken > 0").select(F.col("doc_id").alias(name), F.floor(F.col("taken") / F.col("size")).cast("int").alias(times))
-    return rows.join(durable(taken, "mix"), name).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return times_taken(rows, name, mixed, times).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
