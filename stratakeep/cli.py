@@ -1,4 +1,4 @@
-"""Command line over a store of strings: put, get, del, list, load, compact, stats, verify, digest."""
+"""Command line over a store of strings: put, get, del, list, load, import, compact, stats, verify, digest."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .errors import StoreError
+from .plans.replay import state
+from .sources.frames import read_frames
 from .sources.store import Store
 
 
@@ -24,6 +26,7 @@ def build_parser() -> argparse.ArgumentParser:
         sub.add_parser(name).add_argument("key")
     sub.add_parser("list").add_argument("limit", type=int, nargs="?", default=10)
     sub.add_parser("load", help="random keys out of ten times as many").add_argument("count", type=int)
+    sub.add_parser("import", help="the live values of a folder of framed segments").add_argument("folder")
     for name in ("compact", "stats", "verify", "digest"):
         sub.add_parser(name)
     return p
@@ -46,6 +49,11 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
             elif a.command == "load":
                 key = F.concat(F.lit("key:"), F.floor(F.rand() * 10 * a.count).cast("string"))
                 store.write(spark.range(a.count).select(key.alias("key"), F.concat(F.lit("value-"), "id").alias("value"), F.col("id").alias("ord")))
+            elif a.command == "import":
+                now = store.clock()
+                old = state(read_frames(spark, a.folder), now, link_depth=2)
+                ttl = F.when(F.col("expires_at_ns") > 0, F.col("expires_at_ns") - now).otherwise(0)
+                store.write(old.select("key", F.decode("value", "UTF-8").alias("value"), ttl.alias("ttl_ns")))
             elif a.command == "compact":
                 store.compact()
                 store.vacuum()
