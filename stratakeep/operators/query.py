@@ -9,12 +9,26 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import KeyNotFound
 
 
+def predicate(f: Callable[..., pd.Series], *columns: Column | str) -> Column:
+    """A condition out of a Python function over pandas Series (DataFrames for structs), an Arrow batch at a time.
+
+    For what expressions cannot say; it goes wherever a condition does (filters, requirements, conditional writes). Nothing
+    of it reaches the scan, so put expressions in a filter of their own before it. A null counts as false.
+    """
+
+    def run(*batch: pd.Series) -> pd.Series:
+        return f(*batch).astype("boolean").fillna(False).astype(bool)
+
+    return F.pandas_udf(run, "boolean")(*columns)
+
+
 class Result:
     """An immutable chain of steps over a DataFrame."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratakeep.cli import run
 from stratakeep.errors import Closed, ConditionFailed, Corrupt, DirectoryLocked, InvalidCondition, KeyExists, KeyNotFound, TransactionDone, VersionNotFound
+from stratakeep.operators.query import predicate
 from stratakeep.sources.adapters import KeyValue
 from stratakeep.sources.commands import malformed, parse
 from stratakeep.sources.indexed_log import IndexedLog
@@ -86,6 +87,21 @@ def test_conditions_write_all_or_nothing(store):
     assert store.keys().count() == 0
 
 
+def test_python_predicates(store):
+    for i, city in enumerate(["Turin", None, "Rome", "Trento"]):
+        store.put(f"k{i}", (city, i))
+    starts = predicate(lambda v: v["city"].str.startswith("T"), "value")
+    assert [r["key"] for r in store.scan().filter("value.version < 9").filter(starts).sort("key").limit(1).offset(0).all()] == ["k0"]
+    assert sorted(r["key"] for r in store.scan().filter(~starts).all()) == ["k1", "k2"]
+    same = predicate(lambda now, key: now["city"].str.len() == key.str.len() + 2, "current", "key")
+    store.put_if("k2", ("Oslo", 5), same)
+    with pytest.raises(ConditionFailed):
+        store.put_if("k0", ("Oslo", 5), same)
+    with pytest.raises(ConditionFailed):
+        store.delete_if("none", same)  # nothing there, so null
+    assert store.get("k2")["version"] == 5 and store.get("k0")["version"] == 0
+
+
 def test_transactions(store):
     tx = store.begin()
     tx.put("a", ("Rome", 1))
