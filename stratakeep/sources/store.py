@@ -146,9 +146,9 @@ class Store:
         depth = 2 if self.dedup else 0
         if live and live[0]["kind"] == "base":
             base = self._read(live[:1])
-            entries, depth = (latest_over(base, self._read(behind)), depth) if behind else (base, 0)  # a base has no links
+            entries, depth = (latest_over(base, self._read(behind), transactions=False), depth) if behind else (base, 0)  # a base has no links
         else:
-            entries = latest(log)
+            entries = latest(log, transactions=False)  # a version is atomic by itself
         return settled(entries, log, self.clock() if now_ns is None else now_ns, include_expired, depth)
 
     # writing
@@ -342,7 +342,7 @@ class Store:
         live = self._live_manifests()
         if not live or (len(live) == 1 and live[0]["kind"] == "base"):
             return base
-        return self._publish(compacted(self.log(base), 2 if self.dedup else 0), base, "base")
+        return self._publish(compacted(self.log(base), 2 if self.dedup else 0, transactions=False), base, "base")
 
     def start_compactor(self, every_s: float, versions: int = 2) -> None:
         """Compact and vacuum in the background whenever so many versions have piled up, looking every so many seconds.
@@ -375,7 +375,7 @@ class Store:
             self._compactor = None
 
     def reclaimable(self) -> DataFrame:
-        return reclaim(self.log(), F.length(F.to_json(F.struct("key", "value"))) + 37)
+        return reclaim(self.log(), F.length(F.to_json(F.struct("key", "value"))) + 37, transactions=False)
 
     def vacuum(self) -> list[str]:
         """Delete what no version from the newest base on needs, oldest first; returns the folders' names.

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from stratakeep.plans import replay
 from stratakeep.plans.changelog import COMMIT, DELETE, LINK, PUT, ROLLBACK, log_schema, violations
 from stratakeep.plans.links import broken_links, link_duplicates
 from stratakeep.plans.replay import compacted, state
@@ -49,7 +50,8 @@ def read(df):
 
 
 @pytest.mark.parametrize("seed", range(8))
-def test_random_logs(spark, seed):
+def test_random_logs(spark, monkeypatch, seed):
+    monkeypatch.setattr(replay, "LONG_TRANSACTION", (1 << 22, 7, 60, 1)[seed % 4])  # of about 40 entries
     r = random.Random(seed)
     entries = []
     for i in range(300):
@@ -74,6 +76,15 @@ def test_expired_newest_hides_old_and_boundary_is_inclusive(spark):
     assert read(state(log, 99, include_expired=True)) == {"a": "new", "b": "x"}
 
 
+@pytest.mark.parametrize("ends", [(COMMIT,), (ROLLBACK,), (), (COMMIT, ROLLBACK)])
+def test_a_long_transaction_is_sliced(spark, monkeypatch, ends):
+    monkeypatch.setattr(replay, "LONG_TRANSACTION", 10)
+    entries = [(PUT, 5, f"k{i}", "v", 0) for i in range(95)] + [(e, 5, "", None, 0) for e in ends] + [(PUT, 0, "other", "v", 0)]
+    assert read(state(log_of(spark, entries), 0)) == sequential(entries, 0)
+    slices = replay._ended(log_of(spark, entries).where("tx_id <> 0")).groupBy("_slice").count().collect()
+    assert len(slices) == 10 and max(s["count"] for s in slices) <= 11
+
+
 def test_empty_log(spark):
     assert read(state(log_of(spark, []), 0)) == {}
 
