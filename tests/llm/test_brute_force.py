@@ -1,17 +1,22 @@
-"""Sharding, quality rules and the whole pipeline against plain readings of their definitions."""
+"""Sharding, quality rules, the language model and the whole pipeline against plain readings of their definitions."""
 
 import random
 import re
 import struct
 import zlib
 from collections import Counter
-from math import exp, log
+from math import exp, log, log10
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
+from stratakeep.llm import language_model as lm
 from stratakeep.llm import quality, sharding
+from stratakeep.llm import textkit as tk
+from stratakeep.llm.common import ship
 from stratakeep.llm.queries import QUERIES
 
 from .conftest import ODD_TEXTS, prose, words_of
@@ -150,3 +155,45 @@ def test_pipeline_equals_its_stages_done_by_hand(spark, tmp_path):
     assert len(docs) > len(kept) > len(one) > len(clean) > 80 and len(mix) != len(clean)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((x["doc_id"], x["size"], x["text_crc32"], x["shard"], x["slot"]) for x in got) == brute_shards(mix)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 60])
+def test_scores_equal_those_token_by_token(spark, monkeypatch, head):
+    shipped = []
+    monkeypatch.setattr(lm, "ship", lambda spark, value: shipped.append(value) or ship(spark, value))
+    docs = [(i, t) for i, t, _ in corpus(7)[0]] + [(9000 + i, t) for i, t in enumerate(ODD_TEXTS) if len(t or "") < 500]
+    got = {x["doc_id"]: x for x in lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), head=head).collect()}
+    vocabulary, weights = shipped[-1]
+    at = {int(h): k for k, h in enumerate(vocabulary.h)}
+    texts = {d: [int(h) for h in lm.tokens(pa.array([t], pa.string()))[0]] for d, t in docs}
+    start, end = int(lm._START), int(lm.END)
+    train = [t for d, t in texts.items() if not got[d]["held_out"]]
+    count = Counter(x for t in train for x in t)
+    pairs = Counter((a, b if b in at else None) for t in train for a, b in zip([start, *t], t))
+    rare = {x: c for x, c in count.items() if x not in at}
+    unseen = max(0.5, sum(c == 1 for c in count.values()))  # what all words never seen may weigh
+    assert bool(rare) == (head == 60 or 1 in count.values())
+
+    def classes(one, two):
+        hashed = lambda x, size, first: int(tk.mix_int(x % 2**64)) % size + first
+        rows = (hashed(one + 5, 4096, 0), hashed(one * 0x9E3779B97F4A7C15 + two + 76, 8192, 4096), hashed(two + 147, 4096, 12288))
+        x = np.exp(vocabulary.bias.astype(float) + sum(weights[r].astype(float) for r in rows))
+        return x / x.sum()
+
+    def chance(p, one, token):
+        """Of a token behind ``one``, ``None`` for any that is not frequent."""
+        prior = p[0] if token is None else p[vocabulary.cls[at[token]]] * 10 ** vocabulary.log_in_class[at[token]]
+        n = count[end] if one == start else count[one]
+        return (pairs[one, token] + 100 * prior) / (n + 100)
+
+    for d, t in texts.items():
+        score = 0.0
+        for one, two, x in zip([start, *t], [start, start, *t], t):
+            p = classes(one, two)
+            score += log10(chance(p, one, x if x in at else None))
+            if x not in at:
+                score += log10(rare.get(x, unseen) / (sum(rare.values()) + unseen))
+        assert got[d]["score"] == pytest.approx(score, abs=3e-4 * len(t) + 1e-3)
+    for t in train[:40]:  # what may follow has a chance of one in all
+        p = classes(t[0], start)
+        assert chance(p, t[0], None) + sum(chance(p, t[0], int(h)) for h in vocabulary.h) == pytest.approx(1, abs=1e-4) or t[0] == end
