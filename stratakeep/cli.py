@@ -8,9 +8,9 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .errors import StoreError
+from .errors import Corrupt, StoreError
 from .plans.replay import state
-from .sources.frames import read_frames
+from .sources.frames import frame_problems, read_frames
 from .sources.store import Store
 
 
@@ -50,6 +50,8 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
                 key = F.concat(F.lit("key:"), F.floor(F.rand() * 10 * a.count).cast("string"))
                 store.write(spark.range(a.count).select(key.alias("key"), F.concat(F.lit("value-"), "id").alias("value"), F.col("id").alias("ord")))
             elif a.command == "import":
+                for bad in frame_problems(spark, a.folder).take(1):
+                    raise Corrupt("segment {} at offset {}: {}".format(*bad))
                 now = store.clock()
                 old = state(read_frames(spark, a.folder), now, link_depth=2)
                 ttl = F.when(F.col("expires_at_ns") > 0, F.col("expires_at_ns") - now).otherwise(0)
