@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ import corpus_pipeline
 from stratakeep.llm import decontamination as dc
 from stratakeep.llm import language_model as lm
 from stratakeep.llm import mixing, sharding, url_filter, warc
+from stratakeep.llm import textkit as tk
 from stratakeep.llm.common import shared_dir
 
 from .conftest import CLASHING, prose, words_of
@@ -265,6 +267,48 @@ def test_decontamination_equals_brute_force_in_one_vocabulary(spark):
     assert all(0.7 <= x["lcs"] <= want[x["doc_id"], x["item_id"]] and -1.001 < x["cosine"] < 1.001 for x in got)
 
 
+def test_latent_retrieval_finds_nearly_all_by_itself(spark):
+    r = random.Random(33)
+    word = lambda: f"w{min(int(r.paretovariate(0.35)), 4000)}"
+    items = [[word() for _ in range(n)] for n in (6, 12, 20, 30, 50, 90)]
+    docs = []
+    for i in range(150):
+        text = [word() for _ in range(r.randrange(0, 260))]
+        passage = list(items[i % 6])
+        for _ in range(r.randrange(0, 4 * len(passage) // 10) if i % 3 else 0):
+            k = r.randrange(len(passage))
+            passage[k : k + 1] = r.choice([[], [word()], [passage[k], word(), word()]])
+        at = r.randrange(len(text) + 1)
+        text[at:at] = passage
+        docs.append((i, text))
+    want = set()
+    for i, text in docs:
+        for k, item in enumerate(items):
+            reach = 2 * len(item) + 8
+            if any(10 * lcs(item, text[a : a + reach]) >= 7 * len(item) for a in range(len(text)) if text[a] in item):
+                want.add((i, k))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    got = dc.contaminated(df, spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()
+    assert len(want) >= 150 and {(x["doc_id"], x["item_id"]) for x in got} == want
+    assert sum(x["retrieved"] for x in got) >= 0.9 * len(want)
+    # without the rows' way through the exact search, too
+    idf, latent = dc.directions(df)
+    block = dc.Items(list(range(6)), [" ".join(x) for x in items], [None] * 6, idf, latent)
+    w = tk.words(pa.array([" ".join(t) for _, t in docs]), mapping=dc._PLAIN)
+    alike = {(text, item) for item, text, _, _ in block.alike(w, latent, block.seldom(w))}
+    assert {(x["doc_id"], x["item_id"]) for x in got if x["retrieved"]} <= alike and len(alike & want) >= 0.9 * len(want)
+
+
+def test_what_the_cosine_loses_is_found_exactly(spark):
+    r = random.Random(5)
+    common = [f"w{k}" for k in range(1, 29)]
+    item = [x for k, x in enumerate(common) for x in ([x, f"q{k}"] if k < 12 else [x])]
+    diluted = [x for k, x in enumerate(common) for x in (x, f"z{k}")]
+    docs = [(i, " ".join(r.choices(common, k=80))) for i in range(100)] + [(500, " ".join(diluted)), (501, " ".join(item))]
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["lcs"], x["retrieved"]) for x in got if x["doc_id"] >= 500) == [(500, 28 / 40, False), (501, 1.0, True)]
+
+
 def test_answers_decide_weak_matches(spark):
     item = " ".join(f"q{i}" for i in range(30))
     weak = " ".join(f"q{i}" if i % 5 < 3 else f"z{i}" for i in range(30))
